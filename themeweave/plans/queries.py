@@ -21,6 +21,7 @@ from themeweave.operators.tfidf import TfidfVectorizer, tfidf, vector_cells, voc
 from themeweave.operators.topics import (
     cluster_freq,
     corpus_freq,
+    ids_are_compact,
     label_join,
     nest_topic_words,
     term_score,
@@ -222,8 +223,8 @@ def tfidf_rows_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("tfidf_cells")
 def tfidf_cells_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cells = tfidf_vectors(spark, sf_dir).select("doc_id", F.explode("cells").alias("c"))
-    return cells.select("doc_id", F.col("c.idx").alias("idx"), F.round("c.v", 6).alias("value"))
+    cells = tfidf_vectors(spark, sf_dir).select("doc_id", F.explode_outer("cells").alias("c"))
+    return cells.filter("c IS NOT NULL").select("doc_id", F.col("c.idx").alias("idx"), F.round("c.v", 6).alias("value"))
 
 
 # --- topics and scores --------------------------------------------------------------
@@ -261,7 +262,7 @@ def topic_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
 def words_by_lang(spark: SparkSession, sf_dir: str, options: TextOptions = BIGRAMS) -> DataFrame:
     labelled = by_lang(spark, sf_dir)
     terms = explode_terms(analyze(labelled, options), ("cluster", "doc_id"))
-    return topics_matrix(terms, topic_number(labelled), NUM_WORDS)
+    return topics_matrix(terms, topic_number(labelled), NUM_WORDS, ids_are_compact(labelled))
 
 
 @query("topic_words")
@@ -288,7 +289,7 @@ def conversation_topic_words_query(spark: SparkSession, sf_dir: str) -> DataFram
     key = F.shiftleft(F.col("conv_id"), TURN_BITS) + F.col("turn")
     corpus = corpus_scan(turns, doc_id=key, keep=("role",)).withColumnRenamed("role", "cluster")
     terms = explode_terms(analyze(corpus, UNIGRAMS), ("cluster", "doc_id"))
-    words = topics_matrix(terms, topic_number(corpus), NUM_WORDS)
+    words = topics_matrix(terms, topic_number(corpus), NUM_WORDS, ids_are_compact(corpus))
     return words.withColumn("score", F.round("score", 6))
 
 

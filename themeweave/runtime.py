@@ -57,7 +57,8 @@ def spread(df: DataFrame, key: str = "doc_id") -> DataFrame:
     """Use every core on an input that arrives in fewer pieces than there are cores.
 
     A large input already has many splits and is left alone, so this costs a
-    shuffle only where the data is small.
+    shuffle only where the data is small. Asking for the number of pieces runs no
+    job on a stored table; a computed input is best stored first.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
     if df.rdd.getNumPartitions() >= 2 * cores:
@@ -65,9 +66,9 @@ def spread(df: DataFrame, key: str = "doc_id") -> DataFrame:
     return df.repartition(4 * cores, key)
 
 
-def fits_broadcast(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> bool:
-    """True when ``df`` holds at most ``max_rows`` rows; stops counting beyond."""
-    return df.limit(max_rows + 1).count() <= max_rows
+def fits_broadcast(df: DataFrame) -> bool:
+    """True when ``df`` holds at most ``BROADCAST_ROWS`` rows; stops counting beyond."""
+    return df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
 
 
 def lookup_join(
@@ -76,7 +77,6 @@ def lookup_join(
     key: str,
     spread_by: Column,
     how: str = "inner",
-    max_rows: int = BROADCAST_ROWS,
 ) -> DataFrame:
     """Join a token-sized side to a per-term table.
 
@@ -84,7 +84,7 @@ def lookup_join(
     shuffled on the term plus a salt taken from ``spread_by``, so that one very
     common term is shared by many tasks.
     """
-    if fits_broadcast(table, max_rows):
+    if fits_broadcast(table):
         return big.join(F.broadcast(table), key, how)
     salted = big.withColumn("_salt", F.pmod(F.xxhash64(spread_by), F.lit(JOIN_SALTS)))
     copies = table.withColumn(
