@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+import contextlib
+import io
 import sys
 from pathlib import Path
 
@@ -11,6 +13,13 @@ sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
 SMALL = "/root/testdata/sf0.001"
 
 
+def plan(df) -> str:
+    out = io.StringIO()
+    with contextlib.redirect_stdout(out):
+        df.explain("formatted")
+    return out.getvalue()
+
+
 @pytest.fixture(scope="session")
 def spark(tmp_path_factory):
     session = (

@@ -9,8 +9,9 @@ from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-#: A join side is broadcast only when it is known to hold no more rows than this.
+#: A join side is broadcast only when it is known to be no larger than this.
 BROADCAST_ROWS = 1_000_000
+BROADCAST_TEXT_BYTES = 64 * 1024 * 1024
 
 #: How many ways a key is split when a side is too large to broadcast.
 JOIN_SALTS = 32
@@ -66,9 +67,14 @@ def spread(df: DataFrame, key: str = "doc_id") -> DataFrame:
     return df.repartition(4 * cores, key)
 
 
-def fits_broadcast(df: DataFrame) -> bool:
-    """True when ``df`` holds at most ``BROADCAST_ROWS`` rows; stops counting beyond."""
-    return df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+def fits_broadcast(table: DataFrame, key: str) -> bool:
+    """True when both the rows of ``table`` and the bytes of its text key are few.
+
+    Counting stops one row beyond the limit.
+    """
+    sizes = table.select(F.octet_length(key).alias("_bytes")).limit(BROADCAST_ROWS + 1)
+    found = sizes.agg(F.count("*").alias("n"), F.coalesce(F.sum("_bytes"), F.lit(0)).alias("size")).first()
+    return found.n <= BROADCAST_ROWS and found.size <= BROADCAST_TEXT_BYTES
 
 
 def lookup_join(
@@ -84,7 +90,7 @@ def lookup_join(
     shuffled on the term plus a salt taken from ``spread_by``, so that one very
     common term is shared by many tasks.
     """
-    if fits_broadcast(table):
+    if fits_broadcast(table, key):
         return big.join(F.broadcast(table), key, how)
     salted = big.withColumn("_salt", F.pmod(F.xxhash64(spread_by), F.lit(JOIN_SALTS)))
     copies = table.withColumn(
