@@ -382,25 +382,13 @@ def fixed_weights(spark: SparkSession) -> DataFrame:
     widths |= dict(zip(network.ENCODER, zip(FIXED_ENCODER, FIXED_ENCODER[1:])))
     back = FIXED_ENCODER[::-1]
     widths |= dict(zip(network.DECODER, zip(back, back[1:])))
-    tables = []
-    for nth, ((net, layer), (n_in, n_out)) in enumerate(widths.items()):
-        unit = F.col("id") + 1
-        kernel = F.transform(
-            F.sequence(F.lit(1), F.lit(n_in)), lambda i: F.sin(i * F.col("unit") + nth) / F.sqrt(F.lit(float(n_in)))
-        )
-        tables.append(
-            spark.range(n_out).select("id", unit.alias("unit")).select(
-                F.lit(net).alias("net"),
-                F.lit(layer).alias("layer"),
-                F.col("id").cast("int").alias("row_idx"),
-                kernel.alias("w"),
-                (F.cos(F.col("unit") + nth) / 10).alias("b"),
-            )
-        )
-    weights = tables[0]
-    for table in tables[1:]:
-        weights = weights.unionByName(table)
-    return weights
+    unit = F.col("row_idx") + 1
+    kernel = F.transform(
+        F.sequence(F.lit(1), F.col("n_in")),
+        lambda i: F.sin(i * unit + F.col("nth")) / F.sqrt(F.col("n_in").cast("double")),
+    )
+    bias = F.cos(unit + F.col("nth")) / 10
+    return network.output_units(spark, widths).select("net", "layer", "row_idx", kernel.alias("w"), bias.alias("b"))
 
 
 def fixed_net(spark: SparkSession):
