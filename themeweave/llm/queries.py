@@ -4,10 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from themeweave.llm.columns import span_list
+from themeweave.llm.html_extraction import extract_text
 from themeweave.llm.mixing import mix_sources
 from themeweave.llm.quality import quality_rules
+from themeweave.llm.secret_scan import scan_secrets
 from themeweave.runtime import ship_package
 
 
@@ -16,6 +19,26 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _count(spans: str, kind: str) -> Column:
+    return F.size(F.filter(spans, lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+
+def _digest(spans: str, kinds: tuple[str, ...]) -> Column:
+    return F.sha2(span_list(F.filter(spans, lambda s: s["kind"].isin(*kinds))), 256).alias("base_sha256")
+
+
+def op1_extract_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    texts = extract_text(table(spark, sf_dir, "pages"))
+    return texts.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
+def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    base = ("assign", "access", "hex")
+    found = scan_secrets(table(spark, sf_dir, "documents"))
+    counts = [_count("secrets", kind) for kind in base]
+    return found.select("doc_id", *counts, _digest("secrets", base), span_list(F.col("secrets")).alias("spans"))
+
+
 def op9_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(table(spark, sf_dir, "documents")).drop("source", "copies")
 
@@ -28,6 +51,8 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_extract_text": op1_extract_text,
+    "op2_secret_scan": op2_secret_scan,
     "op9_mix_sources": op9_mix_sources,
     "op10_quality_rules": op10_quality_rules,
 }
