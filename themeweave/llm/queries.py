@@ -10,6 +10,7 @@ from themeweave.llm import suffix_array, suffix_tree
 from themeweave.llm.columns import span_list
 from themeweave.llm.html_extraction import extract_text
 from themeweave.llm.mixing import mix_sources
+from themeweave.llm.ngram_join import ngram_components
 from themeweave.llm.quality import quality_rules
 from themeweave.llm.secret_scan import scan_secrets
 from themeweave.runtime import ship_package
@@ -50,6 +51,10 @@ def op5_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.withColumn("kept_sha256", F.sha2("kept", 256)).drop("kept")
 
 
+def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_components(table(spark, sf_dir, "documents"))
+
+
 def op9_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(table(spark, sf_dir, "documents")).drop("source", "copies")
 
@@ -66,6 +71,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_secret_scan": op2_secret_scan,
     "op3_suffix_array": op3_suffix_array,
     "op5_suffix_tree": op5_suffix_tree,
+    "op7_ngram_join": op7_ngram_join,
     "op9_mix_sources": op9_mix_sources,
     "op10_quality_rules": op10_quality_rules,
 }
