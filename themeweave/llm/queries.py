@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from themeweave.llm import suffix_array, suffix_tree
 from themeweave.llm.columns import span_list
+from themeweave.llm.decontamination import find_leaks
 from themeweave.llm.html_extraction import extract_text
 from themeweave.llm.mixing import mix_sources
 from themeweave.llm.ngram_join import ngram_components
@@ -46,6 +47,11 @@ def op3_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.withColumn("kept_sha256", F.sha2("kept", 256)).drop("kept")
 
 
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    leaks = find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return leaks.withColumnRenamed("key", "doc_id")
+
+
 def op5_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = suffix_tree.remove_repeats(table(spark, sf_dir, "documents"))
     return kept.withColumn("kept_sha256", F.sha2("kept", 256)).drop("kept")
@@ -70,6 +76,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_extract_text": op1_extract_text,
     "op2_secret_scan": op2_secret_scan,
     "op3_suffix_array": op3_suffix_array,
+    "op4_decontamination": op4_decontamination,
     "op5_suffix_tree": op5_suffix_tree,
     "op7_ngram_join": op7_ngram_join,
     "op9_mix_sources": op9_mix_sources,
