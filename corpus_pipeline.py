@@ -4,11 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from themeweave.llm.decontamination import drop_leaks
 from themeweave.llm.mixing import mix_sources
+from themeweave.llm.ngram_join import ngram_components
 from themeweave.llm.quality import quality_rules
 from themeweave.llm.queries import table
+from themeweave.llm.secret_scan import redact, scan_secrets
 from themeweave.runtime import new_run_folder, store
 
 
@@ -17,6 +20,27 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return quality_rules(docs, table(spark, sf_dir, "labels")).where("kept").select(*docs.columns)
 
 
+def near_copy_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document with the smallest id of each group of near copies, and what has no id or no words."""
+    groups = ngram_components(docs).where("doc_id != component_id").select("doc_id").distinct()
+    return docs.join(groups, "doc_id", "left_anti").select(*docs.columns)
+
+
+def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no benchmark item."""
+    return drop_leaks(docs, table(spark, sf_dir, "benchmark"))
+
+
+def secret_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, each secret replaced by its kind in brackets."""
+    scanned = scan_secrets(docs)
+    has = F.size("secrets") > 0
+    text = F.when(has, redact(F.col("text"), F.col("secrets"))).otherwise(F.col("text"))
+    out = scanned.withColumn("_redacted", has).withColumn("text", text)
+    n_chars = F.when(F.col("_redacted"), F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
+    return out.withColumn("n_chars", n_chars).select(*docs.columns)
+
+
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """How many copies of each document the mix takes."""
     return mix_sources(docs)
@@ -24,6 +48,9 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
     ("quality rules", quality_stage),
+    ("n-gram Jaccard join", near_copy_stage),
+    ("benchmark decontamination", decontamination_stage),
+    ("secret scans", secret_stage),
     ("mixing sources", mixing_stage),
 ]
 
