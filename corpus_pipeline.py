@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from themeweave.llm.decontamination import drop_leaks
 from themeweave.llm.mixing import mix_sources
 from themeweave.llm.ngram_join import ngram_components
-from themeweave.llm.quality import quality_rules
+from themeweave.llm.quality import keep_good
 from themeweave.llm.queries import table
 from themeweave.llm.secret_scan import redact, scan_secrets
 from themeweave.runtime import new_run_folder, store
@@ -17,7 +17,7 @@ from themeweave.runtime import new_run_folder, store
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules keep."""
-    return quality_rules(docs, table(spark, sf_dir, "labels")).where("kept").select(*docs.columns)
+    return keep_good(docs, table(spark, sf_dir, "labels"))
 
 
 def near_copy_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

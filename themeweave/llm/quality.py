@@ -89,10 +89,16 @@ def _repeated_words(ordered: Column) -> Column:
 def text_statistics(docs: DataFrame) -> DataFrame:
     """Add the statistics of the base rules, ``base_failed`` and the helper column ``_words``."""
     words = F.col("_words")
-    windows = F.when(
-        F.size(words) >= WINDOW,
-        F.transform(F.sequence(F.lit(1), F.size(words) - (WINDOW - 1)), lambda i: F.xxhash64(F.slice(words, i, WINDOW))),
-    ).otherwise(F.expr("CAST(array() AS array<bigint>)"))
+    no_windows = F.expr("CAST(array() AS array<bigint>)")
+
+    def windows_of(w: Column) -> Column:
+        starts = F.sequence(F.lit(1), F.size(w) - (WINDOW - 1))
+        hashes = F.transform(starts, lambda i: F.xxhash64(F.slice(w, i, WINDOW)))
+        return F.when(F.size(w) >= WINDOW, hashes).otherwise(no_windows)
+
+    # a lambda's variable is computed once; a column would be split into words again per window
+    # wherever the optimizer puts its expression in place
+    windows = F.transform(F.array(words), windows_of)[0]
     lines = F.filter(F.split(text_of(), "\n", -1), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     pairs = F.array_sort(F.transform("_windows", lambda h, i: F.struct(h.alias("hash"), i.alias("place"))))
     repeats = F.size(F.array_distinct("_windows")) < F.size("_windows")
@@ -131,3 +137,14 @@ def judge(docs: DataFrame, ratios: list[float], min_ratio: float = MIN_RATIO) ->
 def quality_rules(docs: DataFrame, labels: DataFrame, min_ratio: float = MIN_RATIO) -> DataFrame:
     """Fit the ratios on the corpus and its labels, then judge every document."""
     return judge(docs, fit_ratios(docs, trusted_ids(labels)), min_ratio)
+
+
+def keep_good(docs: DataFrame, labels: DataFrame, min_ratio: float = MIN_RATIO) -> DataFrame:
+    """The documents that the rules keep, with their own columns.
+
+    The filter also looks at a row number, so that it stays above the statistics; pushed
+    below them it would compute each of them several times.
+    """
+    judged = quality_rules(docs.withColumn("_kept", F.struct(*docs.columns)), labels, min_ratio)
+    numbered = judged.select(F.col("_kept").alias("_row"), "kept", F.monotonically_increasing_id().alias("_number"))
+    return numbered.where("kept AND _number >= 0").select("_row.*")
