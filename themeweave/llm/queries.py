@@ -12,6 +12,7 @@ from themeweave.llm.decontamination import find_leaks
 from themeweave.llm.html_extraction import extract_text
 from themeweave.llm.mixing import mix_sources
 from themeweave.llm.ngram_join import ngram_components
+from themeweave.llm.pii import KINDS, find_pii
 from themeweave.llm.quality import quality_rules
 from themeweave.llm.secret_scan import scan_secrets
 from themeweave.runtime import ship_package
@@ -57,6 +58,12 @@ def op5_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.withColumn("kept_sha256", F.sha2("kept", 256)).drop("kept")
 
 
+def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = find_pii(table(spark, sf_dir, "documents"))
+    counts = [_count("pii", kind) for kind in KINDS]
+    return found.select("doc_id", *counts, _digest("pii", KINDS), span_list(F.col("pii")).alias("spans"))
+
+
 def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_components(table(spark, sf_dir, "documents"))
 
@@ -78,6 +85,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_suffix_array": op3_suffix_array,
     "op4_decontamination": op4_decontamination,
     "op5_suffix_tree": op5_suffix_tree,
+    "op6_pii": op6_pii,
     "op7_ngram_join": op7_ngram_join,
     "op9_mix_sources": op9_mix_sources,
     "op10_quality_rules": op10_quality_rules,
