@@ -6,7 +6,7 @@ their hash bucket occurs, then by hash, the rare first.
 
 1. Two sets that link share a shingle among the first ``n - ceil(t * n) + 1`` of each. Sets that
    share such a shingle and have fitting sizes meet at a pivot, the smallest of them, so a
-   large group of near copies makes one pair per member, not all pairs.
+   large group of near copies makes at most two pairs per member, not all pairs.
 2. The members of a pivot, in blocks of ``BLOCK``, are stored in a prefix tree. The
    pivot runs down the tree: what it shares with a stretch of tree is counted once for all sets
    below, and a subtree is left as soon as the shingles that remain can't make up the rest.
@@ -21,6 +21,7 @@ rows without an id take no part, and their group is null; extra columns are not
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Iterator
 from math import log2
 
@@ -177,16 +178,19 @@ def _group_pairs(percent: int):
     """Of rows sorted by ``token, n, node``: pairs of different groups that may link."""
 
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int]]:
-        token, recent = None, []
+        token, recent = None, {}
         for now, node, n, place, group in _rows(batches, ("token", "node", "n", "place", "label")):
             if now != token:
-                token, recent = now, []
-            if recent and 100 * recent[0][1] < percent * n:
-                recent = [r for r in recent if 100 * r[1] >= percent * n]
-            for other, m, j, theirs in recent:
-                if theirs != group and _may_link(m, j, n, place, percent):
-                    yield other, node
-            recent.append((node, n, place, group))
+                token, recent = now, {}
+            for theirs, members in recent.items():
+                if theirs == group:
+                    continue
+                while members and 100 * members[0][1] < percent * n:
+                    members.popleft()
+                for other, m, j in members:
+                    if _may_link(m, j, n, place, percent):
+                        yield other, node
+            recent.setdefault(group, deque()).append((node, n, place))
 
     return lambda batches: _pair_batches(pairs(batches))
 
@@ -300,7 +304,9 @@ def ngram_components(docs: DataFrame, size: int = SHINGLE, percent: int = PERCEN
     # a row per set and shingle: copies of a set agree in every column
     prefixes = store(rows.groupBy("token", "node").agg(F.min("n").alias("n"), F.min("place").alias("place")), f"{folder}/prefixes")
     by_token = prefixes.repartition("token").sortWithinPartitions(*order)
-    stars = store(by_token.mapInArrow(_pivot_pairs(percent), PAIRS).distinct(), f"{folder}/stars")
+    # two pivots per set, whatever the number of its tokens; what they leave apart is compared below
+    pivots = by_token.mapInArrow(_pivot_pairs(percent), PAIRS).groupBy("b").agg(F.min("a").alias("low"), F.max("a").alias("high"))
+    stars = store(pivots.select(F.explode(F.array_distinct(F.array("low", "high"))).alias("a"), "b"), f"{folder}/stars")
 
     # sizes that fit are neighbours in the order of sizes, so every set of any pair is at a
     # token that two sets of fitting sizes share
