@@ -10,6 +10,7 @@ from themeweave.llm import suffix_array, suffix_tree
 from themeweave.llm.columns import span_list
 from themeweave.llm.decontamination import find_leaks
 from themeweave.llm.html_extraction import extract_text
+from themeweave.llm.language_model import score_documents
 from themeweave.llm.mixing import mix_sources
 from themeweave.llm.ngram_join import ngram_components
 from themeweave.llm.pii import KINDS, find_pii
@@ -68,6 +69,10 @@ def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_components(table(spark, sf_dir, "documents"))
 
 
+def op8_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_documents(table(spark, sf_dir, "documents"))
+
+
 def op9_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(table(spark, sf_dir, "documents")).drop("source", "copies")
 
@@ -87,6 +92,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_suffix_tree": op5_suffix_tree,
     "op6_pii": op6_pii,
     "op7_ngram_join": op7_ngram_join,
+    "op8_language_model": op8_language_model,
     "op9_mix_sources": op9_mix_sources,
     "op10_quality_rules": op10_quality_rules,
 }
