@@ -19,6 +19,8 @@ LANES = 256
 TRAIN_PIECE = 4096
 LEARNING_RATE = 0.01
 CLIP = 1.0
+#: Single-precision exponentials of such numbers neither overflow nor vanish.
+SAFE = 75.0
 
 PARTS = ("inputs", "recur", "bias", "class_w", "class_b", "word_w", "word_b")
 
@@ -122,10 +124,12 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-x))
 
 
-def _log_softmax(x: np.ndarray) -> np.ndarray:
-    x -= x.max(axis=1, keepdims=True)
-    x -= np.log(np.exp(x).sum(axis=1, keepdims=True))
-    return x
+def _exponentials(x: np.ndarray, reach: float) -> tuple[np.ndarray, np.ndarray]:
+    """Exponentials of each row up to a factor, and their sums. ``reach`` bounds every ``abs(x)``."""
+    if reach > SAFE:
+        x = x - x.max(axis=1, keepdims=True)
+    x = np.exp(x)
+    return x, x @ np.ones(x.shape[1], x.dtype)
 
 
 def _by_class(classes: np.ndarray, count: int) -> Iterator[tuple[int, np.ndarray]]:
@@ -169,6 +173,12 @@ class Network:
         self.state[batch.lanes] = state
         return trace
 
+    def _reach(self) -> tuple[float, float]:
+        """Bounds of the class and word scores; a state lies between -1 and 1."""
+        w = self.weights
+        of_class = np.abs(w["class_b"]).max() + np.abs(w["class_w"]).sum(axis=0).max()
+        return float(of_class), float(np.abs(w["word_b"]).max() + np.abs(w["word_w"]).sum(axis=2).max())
+
     def log_probs(self, batch: Windows) -> np.ndarray:
         """Natural log probability of each symbol of the window, 0 outside of documents."""
         w = self.weights
@@ -177,17 +187,18 @@ class Network:
         inside = batch.inside
         states, target = hidden[inside], batch.symbols[inside]
         kind, member = np.divmod(target, self.members)
-        rows = np.arange(len(target))
-        scores = _log_softmax(states @ w["class_w"] + w["class_b"])[rows, kind]
+        class_reach, word_reach = self._reach()
+        logits, sums = _exponentials(states @ w["class_w"] + w["class_b"], class_reach)
+        scores = np.log(logits[np.arange(len(target)), kind] / sums)
         for k, mine in _by_class(kind, self.classes):
-            inner = _log_softmax(states[mine] @ w["word_w"][k].T + w["word_b"][k])
-            scores[mine] += inner[np.arange(len(mine)), member[mine]]
+            logits, sums = _exponentials(states[mine] @ w["word_w"][k].T + w["word_b"][k], word_reach)
+            scores[mine] += np.log(logits[np.arange(len(mine)), member[mine]] / sums)
         out = np.zeros(inside.shape, np.float64)
         out[inside] = scores
         return out
 
-    def learn(self, batch: Windows) -> float:
-        """One step of Adam on the window; returns the summed log probability before it."""
+    def learn(self, batch: Windows) -> None:
+        """One step of Adam on the window."""
         w, h = self.weights, self.width
         trace = self._run(batch)
         inside = batch.inside
@@ -197,47 +208,48 @@ class Network:
         rows = np.arange(len(target))
         grads = {name: np.zeros_like(v) for name, v in w.items()}
 
-        logs = _log_softmax(states @ w["class_w"] + w["class_b"])
-        total = float(logs[rows, kind].sum())
-        error = np.exp(logs)
+        class_reach, word_reach = self._reach()
+        error, sums = _exponentials(states @ w["class_w"] + w["class_b"], class_reach)
+        error /= sums[:, None]
         error[rows, kind] -= 1
         grads["class_w"] = states.T @ error
         grads["class_b"] = error.sum(axis=0)
         into = error @ w["class_w"].T
         for k, mine in _by_class(kind, self.classes):
-            local, place = states[mine], np.arange(len(mine))
-            logs = _log_softmax(local @ w["word_w"][k].T + w["word_b"][k])
-            total += float(logs[place, member[mine]].sum())
-            error = np.exp(logs)
-            error[place, member[mine]] -= 1
+            local = states[mine]
+            error, sums = _exponentials(local @ w["word_w"][k].T + w["word_b"][k], word_reach)
+            error /= sums[:, None]
+            error[np.arange(len(mine)), member[mine]] -= 1
             grads["word_w"][k] = error.T @ local
             grads["word_b"][k] = error.sum(axis=0)
             into[mine] += error @ w["word_w"][k]
 
         back = np.zeros_like(hidden)
         back[inside] = into
-        gate_errors = np.empty((*inside.shape, 3 * h), np.float32)
+        gate_errors = np.empty((*inside.shape, h), np.float32)
+        state_errors = np.empty((*inside.shape, 3 * h), np.float32)
         carried = np.zeros_like(trace[0][0])
         turned = w["recur"].T.copy()
         for step in range(len(trace) - 1, -1, -1):
             before, z, r, new, u, _ = trace[step]
             error = carried + back[step]
             d_new = error * (1 - z) * (1 - new * new)
-            d_u = np.concatenate(
-                [error * (before - new) * z * (1 - z), d_new * u * r * (1 - r), d_new * r], axis=1
-            )
-            grads["recur"] += before.T @ d_u
+            d_u = state_errors[step]
+            d_u[:, :h] = error * (before - new) * (z * (1 - z))
+            d_u[:, h : 2 * h] = d_new * u * (r * (1 - r))
+            d_u[:, 2 * h :] = d_new * r
             carried = error * z + d_u @ turned
-            gate_errors[step, :, : 2 * h] = d_u[:, : 2 * h]
-            gate_errors[step, :, 2 * h :] = d_new
-        grads["bias"] = gate_errors.sum(axis=(0, 1))
-        flat, used = gate_errors.reshape(-1, 3 * h), batch.before.ravel()
+            gate_errors[step] = d_new
+        befores = np.concatenate([step[0] for step in trace])
+        grads["recur"] = befores.T @ state_errors.reshape(-1, 3 * h)
+        state_errors[:, :, 2 * h :] = gate_errors
+        flat, used = state_errors.reshape(-1, 3 * h), batch.before.ravel()
+        grads["bias"] = flat.sum(axis=0)
         order = np.argsort(used, kind="stable")
         sorted_ids = used[order]
         first = np.flatnonzero(np.append(True, sorted_ids[1:] != sorted_ids[:-1]))
         grads["inputs"][sorted_ids[first]] = np.add.reduceat(flat[order], first, axis=0)
         self._step(grads, len(target))
-        return total
 
     def _step(self, grads: Weights, n: int) -> None:
         """Adam; a window with few symbols takes a step that is shorter in proportion."""
