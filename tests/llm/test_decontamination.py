@@ -5,7 +5,7 @@ from __future__ import annotations
 import random
 
 import numpy as np
-from conftest import documents
+from .corpus_rows import documents
 
 from themeweave.llm import decontamination as dc
 

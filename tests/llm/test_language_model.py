@@ -9,7 +9,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
-from conftest import documents
+from .corpus_rows import documents
 
 from themeweave.llm import language_model, recurrent_model as net
 from themeweave.llm.language_model import score_documents

@@ -6,7 +6,7 @@ import random
 
 import numpy as np
 import pytest
-from conftest import documents
+from .corpus_rows import documents
 
 from themeweave.llm import ngram_join
 

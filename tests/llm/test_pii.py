@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from conftest import documents
+from .corpus_rows import documents
 
 from themeweave.llm import pii
 

@@ -7,7 +7,7 @@ import random
 import numpy as np
 import pyarrow as pa
 import pytest
-from conftest import documents
+from .corpus_rows import documents
 
 from themeweave.llm import hashing, seeds, suffix_array, suffix_tree
 
