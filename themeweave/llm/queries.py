@@ -16,6 +16,7 @@ from themeweave.llm.ngram_join import ngram_components
 from themeweave.llm.pii import KINDS, find_pii
 from themeweave.llm.quality import quality_rules
 from themeweave.llm.secret_scan import scan_secrets
+from themeweave.llm.token_alignment import align_tokenizers
 from themeweave.runtime import ship_package
 
 
@@ -84,6 +85,10 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align_tokenizers(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_extract_text": op1_extract_text,
     "op2_secret_scan": op2_secret_scan,
@@ -95,4 +100,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_language_model": op8_language_model,
     "op9_mix_sources": op9_mix_sources,
     "op10_quality_rules": op10_quality_rules,
+    "op11_token_alignment": op11_token_alignment,
 }
