@@ -2,4 +2,26 @@
 
 from __future__ import annotations
 
-SQL: dict[str, str] = {}
+from themeweave.llm.hard_negatives import ANCHOR_STEP, HIGH_PERCENT, LOW_PERCENT, NEGATIVES, POSITIVES, SCALE
+
+HARD_NEGATIVES = f"""WITH v AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+         list_transform(embedding, lambda x: floor({SCALE} * x::DOUBLE)::BIGINT) AS c
+  FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (
+  SELECT a.vec_id AS anchor_id, b.vec_id AS other_id, a.label = b.label AS same,
+         list_sum(list_transform(list_zip(a.c, b.c), lambda z: z[1] * z[2]))::BIGINT AS score
+  FROM v a, v b WHERE a.vec_id % {ANCHOR_STEP} = 0 AND a.vec_id <> b.vec_id),
+p AS (
+  SELECT anchor_id, other_id AS positive_id, score AS positive_score FROM s WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other_id) <= {POSITIVES}),
+n AS (
+  SELECT p.*, other_id AS negative_id, score AS negative_score,
+         (row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, other_id))::INTEGER AS rank
+  FROM p JOIN s USING (anchor_id)
+  WHERE NOT same AND {LOW_PERCENT} * positive_score <= 100 * score AND 100 * score <= {HIGH_PERCENT} * positive_score)
+SELECT anchor_id, positive_id, rank, negative_id, positive_score, negative_score FROM n WHERE rank <= {NEGATIVES}"""
+
+SQL: dict[str, str] = {"op12_hard_negatives": HARD_NEGATIVES}

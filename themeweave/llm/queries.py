@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from themeweave.llm import suffix_array, suffix_tree
 from themeweave.llm.columns import span_list
 from themeweave.llm.decontamination import find_leaks
+from themeweave.llm.hard_negatives import ANCHOR_STEP, mine_hard_negatives, whole_numbers
 from themeweave.llm.html_extraction import extract_text
 from themeweave.llm.language_model import score_documents
 from themeweave.llm.mixing import mix_sources
@@ -89,6 +90,13 @@ def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return align_tokenizers(table(spark, sf_dir, "documents"))
 
 
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Anchors are every fiftieth vector; every seventh has its label moved on by one of ten."""
+    rows = whole_numbers(table(spark, sf_dir, "embeddings"))
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return mine_hard_negatives(rows.withColumn("label", moved), F.col("vec_id") % ANCHOR_STEP == 0)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_extract_text": op1_extract_text,
     "op2_secret_scan": op2_secret_scan,
@@ -101,4 +109,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_mix_sources": op9_mix_sources,
     "op10_quality_rules": op10_quality_rules,
     "op11_token_alignment": op11_token_alignment,
+    "op12_hard_negatives": op12_hard_negatives,
 }
