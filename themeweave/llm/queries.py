@@ -12,6 +12,7 @@ from themeweave.llm.decontamination import find_leaks
 from themeweave.llm.hard_negatives import ANCHOR_STEP, mine_hard_negatives, whole_numbers
 from themeweave.llm.html_extraction import extract_text
 from themeweave.llm.language_model import score_documents
+from themeweave.llm.minhash_dedup import near_copies
 from themeweave.llm.mixing import mix_sources
 from themeweave.llm.ngram_join import ngram_components
 from themeweave.llm.pii import KINDS, find_pii
@@ -97,6 +98,10 @@ def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mine_hard_negatives(rows.withColumn("label", moved), F.col("vec_id") % ANCHOR_STEP == 0)
 
 
+def op13_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_copies(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_extract_text": op1_extract_text,
     "op2_secret_scan": op2_secret_scan,
@@ -110,4 +115,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_quality_rules": op10_quality_rules,
     "op11_token_alignment": op11_token_alignment,
     "op12_hard_negatives": op12_hard_negatives,
+    "op13_minhash_dedup": op13_minhash_dedup,
 }
