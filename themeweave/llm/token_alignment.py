@@ -28,6 +28,7 @@ import os
 import re
 from collections.abc import Iterator
 from functools import cache
+from itertools import chain
 from pathlib import Path
 
 import numpy as np
@@ -45,18 +46,15 @@ TOKENIZER_FOLDER = "/opt/tokenizers"
 #: Pairs whose counts every executor holds; all others are joined.
 HOT_PAIRS = 1 << 19
 #: A worker forgets its stretches beyond this many, or this many bytes of them.
-MEMO_STRETCHES, MEMO_BYTES = 400_000, 16 << 20
+MEMO_STRETCHES, MEMO_BYTES = 300_000, 8 << 20
 #: Bytes of text aligned at a time.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
 
+# The blank, and first bytes of characters beyond ASCII that may be white space.
 BLANK = 0x20
-# Last bytes that a Unicode white space character beyond ASCII may have.
-_OPEN_ENDS = [*range(0x80, 0x8B), 0x9F, 0xA0, 0xA8, 0xA9, 0xAF]
-#: Bytes after which a blank certainly begins a new stretch.
-VISIBLE = np.zeros(256, dtype=bool)
-VISIBLE[0x21:0x7F] = True
-VISIBLE[0x80:] = True
-VISIBLE[_OPEN_ENDS] = False
+_OPEN_PAIR, _OPEN_TRIPLES = 0xC2, (0xE1, 0xE2, 0xE3)
+#: Pairs of a group are written out at once up to this many; larger groups count equal ids first.
+PLAIN_PAIRS = 64
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -73,6 +71,15 @@ def piece_bytes(piece: str) -> bytes:
     return piece.replace("▁", " ").encode()
 
 
+class Table:
+    """The bytes of every token, end to end."""
+
+    def __init__(self, tokens: list[bytes]):
+        self.sizes = np.array([len(x) for x in tokens], dtype=np.int64)
+        self.starts = np.cumsum(self.sizes) - self.sizes
+        self.bytes = np.frombuffer(b"".join(tokens), dtype=np.uint8)
+
+
 class Tokenizers:
     """Both sides, from the contents of their files."""
 
@@ -89,6 +96,8 @@ class Tokenizers:
         self.bytes_a = [bytes(alphabet.get(c, 0) for c in names.get(i, "")) for i in range(max(names) + 1)]
         pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
         self.bytes_b = [piece_bytes(p) for p in pieces]
+        self.table_a, self.table_b = Table(self.bytes_a), Table(self.bytes_b)
+        self.numerals = Numerals(max(len(self.bytes_a), len(self.bytes_b)))
         if any(re.search("[^▁]▁", p) for p in pieces):
             raise ValueError("a piece runs across a blank; stretches cannot be tokenised alone")
 
@@ -108,13 +117,10 @@ def read_models(folder: str = TOKENIZER_FOLDER) -> tuple[bytes, bytes]:
     return Path(folder, BYTE_FILE).read_bytes(), Path(folder, PIECE_FILE).read_bytes()
 
 
-def token_frame(side: str, ids: list[list[int]], table: list[bytes]) -> pd.DataFrame:
+def token_frame(side: str, flat: np.ndarray, doc: np.ndarray, sizes: np.ndarray) -> pd.DataFrame:
     """``<doc, start, end, at, id>``: tokens in order. Offsets run on over all documents."""
-    flat = np.fromiter((i for mine in ids for i in mine), dtype=np.int64)
-    sizes = np.array([len(x) for x in table], dtype=np.int64)
-    ends = np.cumsum(sizes[flat])
-    doc = np.repeat(np.arange(len(ids)), [len(mine) for mine in ids])
-    names = {"doc": doc, "start": ends - sizes[flat], f"end_{side}": ends, side: np.arange(len(flat)), f"id_{side}": flat}
+    ends = np.cumsum(sizes)
+    names = {"doc": doc, "start": ends - sizes, f"end_{side}": ends, side: np.arange(len(flat)), f"id_{side}": flat}
     return pd.DataFrame(names)
 
 
@@ -137,84 +143,169 @@ def group_tokens(a: pd.DataFrame, b: pd.DataFrame) -> tuple[np.ndarray, np.ndarr
     return numbers[0], numbers[1], len(closing)
 
 
-def group_links(a: pd.DataFrame, b: pd.DataFrame, group_a: np.ndarray, group_b: np.ndarray) -> pd.DataFrame:
-    """``<doc, id_a, id_b, n>``: how many links of a document are of an id pair."""
-    left = a.assign(group=group_a).groupby(["group", "doc", "id_a"], sort=False).size().rename("n_a").reset_index()
-    right = b.assign(group=group_b).groupby(["group", "id_b"], sort=False).size().rename("n_b").reset_index()
-    pairs = left.merge(right, on="group")
-    pairs["n"] = pairs["n_a"] * pairs["n_b"]
-    return pairs.groupby(["doc", "id_a", "id_b"], as_index=False)["n"].sum()
+def spans_of(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The places ``start, start + 1, ...`` of each span, one after the other."""
+    before = np.cumsum(sizes) - sizes
+    return np.repeat(starts - before, sizes) + np.arange(int(sizes.sum()))
 
 
-def _joined(ids: np.ndarray, group: np.ndarray, n_groups: int) -> list[str]:
-    """The ids of each group, comma-joined."""
-    bounds = np.searchsorted(group, np.arange(n_groups + 1)).tolist()
-    text = ids.astype(str).tolist()
-    return [",".join(text[i:j]) for i, j in zip(bounds, bounds[1:])]
+def summed(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys in order, and the sum of the values of each."""
+    if not len(keys):
+        return keys, values
+    order = np.argsort(keys)
+    keys, values = keys[order], values[order]
+    head = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+    return keys[head], np.add.reduceat(values, head)
+
+
+def group_links(a: pd.DataFrame, b: pd.DataFrame, group_a: np.ndarray, group_b: np.ndarray, n_groups: int, pieces: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``doc``, ``id_a * pieces + id_b`` and number of links, for each document and id pair."""
+    in_a, in_b = np.bincount(group_a, minlength=n_groups), np.bincount(group_b, minlength=n_groups)
+    first_b = np.cumsum(in_b) - in_b
+    id_a, id_b, doc_a = (x.to_numpy() for x in (a["id_a"], b["id_b"], a["doc"]))
+    plain = (in_a * in_b <= PLAIN_PAIRS)[group_a]
+    group = group_a[plain]
+    pair = np.repeat(id_a[plain], in_b[group]) * pieces + id_b[spans_of(first_b[group], in_b[group])]
+    doc, links = np.repeat(doc_a[plain], in_b[group]), np.ones(int(in_b[group].sum()), dtype=np.int64)
+    if not plain.all():
+        large = (in_a * in_b > PLAIN_PAIRS)[group_b]
+        left = pd.DataFrame({"group": group_a[~plain], "doc": doc_a[~plain], "a": id_a[~plain]})
+        left = left.groupby(["group", "doc", "a"], sort=False).size().rename("n_a").reset_index()
+        right = pd.DataFrame({"group": group_b[large], "b": id_b[large]}).groupby(["group", "b"], sort=False).size().rename("n_b").reset_index()
+        more = left.merge(right, on="group")
+        doc = np.concatenate([doc, more["doc"].to_numpy()])
+        pair = np.concatenate([pair, more["a"].to_numpy() * pieces + more["b"].to_numpy()])
+        links = np.concatenate([links, (more["n_a"] * more["n_b"]).to_numpy()])
+    most = int(pair.max()) + 1 if len(pair) else 1
+    keys, links = summed(doc * most + pair, links)
+    return *np.divmod(keys, most), links
+
+
+class Numerals:
+    """Numbers from zero as text, each with room for one sign after it."""
+
+    def __init__(self, count: int):
+        text = [b"%d," % i for i in range(count)]
+        self.sizes = np.array([len(x) for x in text], dtype=np.int64)
+        self.starts = np.cumsum(self.sizes) - self.sizes
+        self.bytes = np.frombuffer(b"".join(text), dtype=np.uint8)
+
+
+def group_text(numerals: Numerals, a: pd.DataFrame, b: pd.DataFrame, group_a: np.ndarray, group_b: np.ndarray, n_groups: int) -> tuple[bytes, np.ndarray]:
+    """All groups as ``a1,a2|b1;`` one after the other, and where each begins."""
+    in_a, in_b = np.bincount(group_a, minlength=n_groups), np.bincount(group_b, minlength=n_groups)
+    total_a, total_b = np.cumsum(in_a), np.cumsum(in_b)
+    place_a = np.arange(len(group_a)) + (total_b - in_b)[group_a]
+    place_b = np.arange(len(group_b)) + total_a[group_b]
+    ids, signs = np.zeros(len(a) + len(b), dtype=np.int64), np.full(len(a) + len(b), ord(","), dtype=np.uint8)
+    ids[place_a], ids[place_b] = a["id_a"].to_numpy(), b["id_b"].to_numpy()
+    signs[place_a[total_a - 1]] = ord("|")
+    signs[place_b[total_b - 1]] = ord(";")
+    sizes = numerals.sizes[ids]
+    out = numerals.bytes[spans_of(numerals.starts[ids], sizes)]
+    ends = np.cumsum(sizes)
+    out[ends - 1] = signs
+    return out.tobytes(), np.concatenate([[0], ends[place_b[total_b - 1]]]).astype(np.int64)
+
+
+class Growing:
+    """A list of numbers, or of rows of numbers, that grows in place."""
+
+    def __init__(self, kind: type, first: tuple = ()):
+        self._held, self._size = np.zeros(1024, dtype=kind), len(first)
+        self._held[: len(first)] = first
+
+    def add(self, values: np.ndarray) -> None:
+        size = self._size + len(values)
+        if size > len(self._held):
+            wider = np.zeros(2 * size, dtype=self._held.dtype)
+            wider[: self._size] = self._held[: self._size]
+            self._held = wider
+        self._held[self._size : size] = values
+        self._size = size
+
+    @property
+    def values(self) -> np.ndarray:
+        return self._held[: self._size]
 
 
 class Aligned:
-    """Aligned stretches, as growing arrays: offsets into flat lists of bytes and of id pairs."""
+    """Aligned stretches: offsets into flat lists of bytes and of id pairs."""
 
     def __init__(self) -> None:
         self.place: dict[int, int] = {}
-        self.whole: list[bool] = []
-        self.groups: list[str] = []
-        self.counts = np.zeros((0, 3), dtype=np.int64)  # tokens of A, of B, groups
-        self.text = np.zeros(0, dtype=np.uint8)
-        self.text_at = np.zeros(1, dtype=np.int64)
-        self.pairs = np.zeros((0, 2), dtype=np.int64)  # pair, links
-        self.pairs_at = np.zeros(1, dtype=np.int64)
+        self.groups: list[bytes] = []
+        self.whole = Growing(np.bool_)
+        self.counts = [Growing(np.int32) for _ in range(3)]  # tokens of A, of B, groups
+        self.text, self.text_at = Growing(np.uint8), Growing(np.int64, (0,))
+        self.pair, self.links, self.pair_at = Growing(np.int64), Growing(np.int64), Growing(np.int64, (0,))
 
     def add(self, tools: Tokenizers, stretches: list[bytes], hashes: list[int]) -> None:
-        ids_a, ids_b = tools.encode([s.decode() for s in stretches])
-        whole = [
-            b"".join([tools.bytes_a[i] for i in x]) == s and b"".join([tools.bytes_b[i] for i in y]) == s
-            for s, x, y in zip(stretches, ids_a, ids_b)
-        ]
-        nothing: list[int] = []
-        ids_a = [x if ok else nothing for x, ok in zip(ids_a, whole)]
-        ids_b = [y if ok else nothing for y, ok in zip(ids_b, whole)]
-        a, b = token_frame("a", ids_a, tools.bytes_a), token_frame("b", ids_b, tools.bytes_b)
-        group_a, group_b, n_groups = group_tokens(a, b)
-        links = group_links(a, b, group_a, group_b)
-
         last = len(stretches)
+        lengths = np.array([len(s) for s in stretches], dtype=np.int64)
+        text = np.frombuffer(b"".join(stretches), np.uint8)
+        encoded = tools.encode([s.decode() for s in stretches])
+        sides, whole = [], np.ones(last, dtype=bool)
+        for ids, table in zip(encoded, (tools.table_a, tools.table_b)):
+            per = np.array([len(x) for x in ids], dtype=np.int64)
+            flat = np.fromiter(chain.from_iterable(ids), dtype=np.int64, count=int(per.sum()))
+            doc = np.repeat(np.arange(last), per)
+            whole &= given_back(table, flat, doc, text, lengths)
+            sides.append((flat, doc, per))
+        frames, per_side = [], []
+        for name, (flat, doc, per), table in zip("ab", sides, (tools.table_a, tools.table_b)):
+            kept = whole[doc]
+            frames.append(token_frame(name, flat[kept], doc[kept], table.sizes[flat[kept]]))
+            per_side.append(np.where(whole, per, 0))
+        a, b = frames
+        group_a, group_b, n_groups = group_tokens(a, b)
+        grouped, group_at = group_text(tools.numerals, a, b, group_a, group_b, n_groups)
         doc_of_group = np.zeros(n_groups, dtype=np.int64)
         doc_of_group[group_a] = a["doc"].to_numpy()
-        texts_a, texts_b = _joined(a["id_a"].to_numpy(), group_a, n_groups), _joined(b["id_b"].to_numpy(), group_b, n_groups)
-        texts = [f"{x}|{y}" for x, y in zip(texts_a, texts_b)]
-        cuts = np.searchsorted(doc_of_group, np.arange(last + 1)).tolist()
-        per_doc = [np.array([len(x) for x in ids_a]), np.array([len(x) for x in ids_b]), np.diff(cuts)]
+        cuts = np.searchsorted(doc_of_group, np.arange(last + 1))
+        doc, pair, links = group_links(a, b, group_a, group_b, n_groups, len(tools.bytes_b))
 
         first = len(self.groups)
         self.place.update(zip(hashes, range(first, first + last)))
-        self.whole += whole
-        self.groups += [";".join(texts[i:j]) for i, j in zip(cuts, cuts[1:])]
-        self.counts = np.concatenate([self.counts, np.stack(per_doc, axis=1)])
-        sizes = np.array([len(s) for s in stretches], dtype=np.int64)
-        self.text = np.concatenate([self.text, np.frombuffer(b"".join(stretches), np.uint8)])
-        self.text_at = np.concatenate([self.text_at, self.text_at[-1] + np.cumsum(sizes)])
-        pair = links["id_a"].to_numpy() * len(tools.bytes_b) + links["id_b"].to_numpy()
-        self.pairs = np.concatenate([self.pairs, np.stack([pair, links["n"].to_numpy()], axis=1)])
-        per = np.bincount(links["doc"].to_numpy(), minlength=last)
-        self.pairs_at = np.concatenate([self.pairs_at, self.pairs_at[-1] + np.cumsum(per)])
+        at = group_at[cuts].tolist()
+        self.groups += [grouped[i:j] for i, j in zip(at, at[1:])]
+        self.whole.add(whole)
+        for held, per in zip(self.counts, (*per_side, np.diff(cuts))):
+            held.add(per)
+        self.text_at.add(self.text_at.values[-1] + np.cumsum(lengths))
+        self.text.add(text)
+        self.pair_at.add(self.pair_at.values[-1] + np.cumsum(np.bincount(doc, minlength=last)))
+        self.pair.add(pair)
+        self.links.add(links)
 
     def is_full(self) -> bool:
-        return len(self.groups) > MEMO_STRETCHES or len(self.text) > MEMO_BYTES
+        return len(self.groups) > MEMO_STRETCHES or len(self.text.values) > MEMO_BYTES
 
 
-def spans_of(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """The places ``start, start + 1, ...`` of each span, one after the other."""
-    before = np.cumsum(sizes) - sizes
-    return np.repeat(starts - before, sizes) + np.arange(int(sizes.sum()))
+def given_back(table: "Table", flat: np.ndarray, doc: np.ndarray, text: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """Which texts equal the bytes of their tokens joined."""
+    made = np.bincount(doc, table.sizes[flat], len(lengths)).astype(np.int64)
+    fits = made == lengths
+    kept = fits[doc]
+    joined = table.bytes[spans_of(table.starts[flat[kept]], table.sizes[flat[kept]])]
+    starts = np.cumsum(lengths) - lengths
+    differs = joined != text[spans_of(starts[fits], lengths[fits])]
+    owner = np.repeat(np.flatnonzero(fits), lengths[fits])
+    fits[owner[differs]] = False
+    return fits
 
 
 def cut_stretches(texts: hashing.Texts) -> tuple[np.ndarray, np.ndarray]:
     """Start and end of every stretch."""
     data, bounds = texts.bytes, texts.bounds
     cut = np.zeros(len(data) + 1, dtype=bool)
-    cut[1:-1] = (data[1:] == BLANK) & VISIBLE[data[:-1]]
+    # after white space a blank goes on with it; beyond ASCII, leave alone what might be white space
+    before = np.concatenate([np.zeros(3, np.uint8), data[:-1]])
+    one, two, three = before[2:], before[1:-1], before[:-2]
+    open_end = (two == _OPEN_PAIR) | np.isin(three, _OPEN_TRIPLES)
+    visible = ((one > BLANK) & (one < 0x7F)) | ((one >= 0x80) & ~open_end)
+    cut[:-1] = (data == BLANK) & visible[: len(data)]
     cut[bounds] = True
     at = np.flatnonzero(cut)
     return at[:-1], at[1:]
@@ -224,8 +315,8 @@ def _row(tools: Tokenizers, text: str) -> tuple:
     """One text aligned as a whole."""
     alone = Aligned()
     alone.add(tools, [(" " + text).encode()], [0])
-    counts, pairs = alone.counts[0], alone.pairs
-    return (*counts, alone.groups[0], pairs[:, 0], pairs[:, 1])
+    counts = [int(c.values[0]) for c in alone.counts]
+    return (*counts, alone.groups[0][:-1], alone.pair.values, alone.links.values)
 
 
 def align_texts(tools: Tokenizers, known: Aligned, column: pa.Array) -> Iterator[tuple]:
@@ -250,34 +341,31 @@ def align_texts(tools: Tokenizers, known: Aligned, column: pa.Array) -> Iterator
     at = np.searchsorted(starts, texts.bounds)
     doc = hashing.row_of(at, len(starts))
     # a stretch with the hash of another, or one that its tokens don't give back: align the whole text
-    same = known.text_at[unit + 1] - known.text_at[unit] == sizes
+    text_at, pair_at = known.text_at.values, known.pair_at.values
+    same = text_at[unit + 1] - text_at[unit] == sizes
     odd = np.zeros(n, dtype=bool)
-    odd[doc[~(same & np.array(known.whole, dtype=bool)[unit])]] = True
+    odd[doc[~(same & known.whole.values[unit])]] = True
     checked = np.flatnonzero(same)
-    differs = known.text[spans_of(known.text_at[unit[checked]], sizes[checked])] != texts.bytes[spans_of(starts[checked], sizes[checked])]
-    odd[np.repeat(doc[checked], sizes[checked])[differs]] = True
+    there, here = spans_of(text_at[unit[checked]], sizes[checked]), spans_of(starts[checked], sizes[checked])
+    differs = np.flatnonzero(known.text.values[there] != texts.bytes[here])
+    odd[np.searchsorted(texts.bounds, here[differs], side="right") - 1] = True
 
-    counts = np.stack([np.bincount(doc, known.counts[unit, k], n) for k in range(3)], axis=1).astype(np.int64)
-    grouped = np.array(known.groups, dtype=object)[unit]
-    once, times = np.unique(doc * len(known.groups) + unit, return_counts=True)
+    counts = [np.bincount(doc, held.values[unit], n).astype(np.int64) for held in known.counts]
+    grouped, places, cuts = known.groups, unit.tolist(), at.tolist()
+    once, times = np.unique(doc * max(1, len(known.groups)) + unit, return_counts=True)
     owner, mine = np.divmod(once, max(1, len(known.groups)))
-    per = known.pairs_at[mine + 1] - known.pairs_at[mine]
-    rows = spans_of(known.pairs_at[mine], per)
+    per = pair_at[mine + 1] - pair_at[mine]
+    rows = spans_of(pair_at[mine], per)
     width = len(tools.bytes_a) * len(tools.bytes_b)
-    keys = np.repeat(owner, per) * width + known.pairs[rows, 0]
-    links = known.pairs[rows, 1] * np.repeat(times, per)
-    order = np.argsort(keys)
-    keys, links = keys[order], links[order]
-    head = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, dtype=np.int64)
-    links = np.add.reduceat(links, head) if len(head) else links
-    whose, pair = np.divmod(keys[head], width)
-    cuts = np.searchsorted(whose, np.arange(n + 1))
+    keys, links = summed(np.repeat(owner, per) * width + known.pair.values[rows], known.links.values[rows] * np.repeat(times, per))
+    whose, pair = np.divmod(keys, width)
+    ends = np.searchsorted(whose, np.arange(n + 1))
     for i in range(n):
         if odd[i]:
             yield _row(tools, given[i].as_py())
             continue
-        span = slice(cuts[i], cuts[i + 1])
-        yield (*counts[i], ";".join(grouped[at[i] : at[i + 1]]), pair[span], links[span])
+        text = b"".join([grouped[k] for k in places[cuts[i] : cuts[i + 1]]])
+        yield (*(int(c[i]) for c in counts), text[:-1], pair[ends[i] : ends[i + 1]], links[ends[i] : ends[i + 1]])
 
 
 def _lists(parts: list[np.ndarray], kind: pa.DataType) -> pa.Array:
@@ -297,7 +385,7 @@ def _align_rows(byte_model: bytes, piece_model: bytes, kind: pa.DataType):
                     continue
                 piece = batch.slice(rows[0], len(rows))
                 found = list(align_texts(tools, known, piece.column("text")))
-                digests = [hashlib.sha256(r[3].encode()).hexdigest() if r[3] else "" for r in found]
+                digests = [hashlib.sha256(r[3]).hexdigest() if r[3] else "" for r in found]
                 columns = [pa.array([int(r[k]) for r in found], pa.int64()) for k in range(3)]
                 columns += [pa.array([int(r[5].sum()) for r in found], pa.int64()), pa.array(digests, pa.string())]
                 columns += [_lists([r[4] for r in found], kind), _lists([r[5] for r in found], pa.int64())]
