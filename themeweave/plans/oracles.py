@@ -3,17 +3,20 @@
 from __future__ import annotations
 
 from themeweave.functions.text import TOKEN_PATTERN
+from themeweave.operators.clustering import DIGITS
 from themeweave.plans.queries import (
     BATCH_SIZE,
     FIXED_ENCODER,
     FIXED_GENERATOR,
     LANG_CLUSTERS,
     MAX_DF,
+    MICRO_CLUSTERS,
     MIN_DF,
     NUM_WORDS,
     STOP,
     TOP_FEATURES,
     TURN_BITS,
+    WARD_CLUSTERS,
 )
 
 _STOP_LIST = ", ".join(f"'{word}'" for word in STOP)
@@ -91,6 +94,45 @@ _SPREAD = """cells AS (SELECT vec_id, label, unnest(embedding)::DOUBLE AS x,
 centroids AS (SELECT label, coordinate, count(*) AS n, avg(x) AS c FROM cells GROUP BY label, coordinate)"""
 
 
+def ward_steps(source: str, clusters: int) -> str:
+    """CTE ``m(step, left, right, cost, groups)``: the cheapest pair of ``source(g, n, c)`` merged step by step.
+
+    ``groups`` holds what is left after the step; a group is named by its smallest member.
+    """
+    gap = "list_sum(list_transform(list_zip(a.c, b.c), lambda z: (z[1] - z[2]) * (z[1] - z[2])))"
+    mean = "list_transform(list_zip(a.c, b.c), lambda z: (a.n * z[1] + b.n * z[2]) / (a.n + b.n))"
+    return f"""m(step, a, b, cost, groups) AS (
+  SELECT -1, NULL::INTEGER, NULL::INTEGER, NULL::DOUBLE, list({{'g': g, 'n': n::DOUBLE, 'c': c, 'of': [g]}} ORDER BY g) FROM {source}
+  UNION ALL
+  SELECT step + 1, best.a.g, best.b.g, best.cost,
+         list_append(list_filter(groups, lambda x: x.g <> best.a.g AND x.g <> best.b.g), best.made)
+  FROM m, LATERAL (
+    SELECT arg_min(a, (cost, a.g, b.g)) AS a, arg_min(b, (cost, a.g, b.g)) AS b, min(cost) AS cost,
+           arg_min({{'g': a.g, 'n': a.n + b.n, 'c': {mean}, 'of': list_concat(a.of, b.of)}}, (cost, a.g, b.g)) AS made
+    FROM (SELECT a, b, a.n * b.n / (a.n + b.n) * {gap} AS cost
+          FROM (SELECT unnest(m.groups) AS a) x, (SELECT unnest(m.groups) AS b) y WHERE a.g < b.g)) best
+  WHERE len(groups) > {clusters})"""
+
+
+def micro_clusters(most: int) -> str:
+    """CTEs down to ``moved(g, n, spread, c)``: cells of the grid over all vectors, then one round of nearest means."""
+    steps = 1 << DIGITS
+    return f"""x AS (SELECT vec_id, generate_subscripts(embedding, 1) AS k, unnest(embedding)::DOUBLE AS x FROM embeddings),
+ends AS (SELECT k, min(x) AS lo, max(x) AS hi, row_number() OVER (ORDER BY max(x) - min(x) DESC, k) AS o FROM x GROUP BY k),
+q AS (SELECT vec_id, o, CASE WHEN hi > lo THEN least(floor((x - lo) / (hi - lo) * {steps}), {steps - 1}) ELSE 0 END::INTEGER AS q
+      FROM x JOIN ends USING (k)),
+digits AS (SELECT vec_id, r, o, ((q >> ({DIGITS - 1} - r)) & 1)::VARCHAR AS bit FROM q, range({DIGITS}) t(r)),
+keys AS (SELECT vec_id, string_agg(bit, '' ORDER BY r, o) AS key FROM digits GROUP BY vec_id),
+sizes AS (SELECT level, count(DISTINCT key[1:level]) AS n FROM keys, range(0, {DIGITS} * (SELECT max(k) FROM x) + 1) t(level) GROUP BY level),
+cells AS (SELECT vec_id, (dense_rank() OVER (ORDER BY key[1:(SELECT max(level) FROM sizes WHERE n <= {most})]) - 1)::INTEGER AS g FROM keys),
+means AS (SELECT g, k, avg(x) AS m FROM cells JOIN x USING (vec_id) GROUP BY g, k),
+centres AS (SELECT g, list(m ORDER BY k) AS c FROM means GROUP BY g),
+v AS (SELECT vec_id, list_transform(embedding, lambda e: e::DOUBLE) AS v FROM embeddings),
+near AS (SELECT vec_id, v, arg_min(g, list_distance(v, c)) AS g FROM v, centres GROUP BY vec_id, v),
+moved AS (SELECT g, any_value(n) AS n, sum(n * var) AS spread, list(m ORDER BY k) AS c
+          FROM (SELECT near.g, k, count(*) AS n, avg(x) AS m, var_pop(x) AS var FROM near JOIN x USING (vec_id) GROUP BY near.g, k) GROUP BY g)"""
+
+
 def _layer(source: str, target: str, nth: int, n_in: int, n_out: int) -> str:
     """CTE for one layer of the closed-form nets over ``(vec_id, i, x)`` rows."""
     return f"""{target}_z AS (
@@ -188,12 +230,18 @@ SELECT a.label AS label_a, b.label AS label_b,
        round(a.n * b.n / (a.n + b.n) * sum((a.c - b.c) * (a.c - b.c)), 6) AS cost
 FROM centroids a JOIN centroids b ON b.label = a.label + 1 AND b.coordinate = a.coordinate
 GROUP BY a.label, b.label, a.n, b.n""",
-        "ward_merge_costs": f"""WITH {_SPREAD},
-grand AS (SELECT coordinate, avg(x) AS m FROM cells GROUP BY coordinate)
-SELECT count(DISTINCT label) - 1 AS n_merges, round(sum(n * (c - m) * (c - m)), 6) AS total_cost
-FROM centroids JOIN grand USING (coordinate)""",
-        "ward_clusters": """SELECT count(*) AS n_rows, 10::BIGINT AS n_clusters, true AS min_size_ok
-FROM embeddings""",
+        "ward_merge_costs": f"""WITH RECURSIVE {_SPREAD},
+labels AS (SELECT label AS g, any_value(n) AS n, list(c ORDER BY coordinate) AS c FROM centroids GROUP BY label),
+{ward_steps("labels", 1)}
+SELECT step::INTEGER AS step, a AS left, b AS right, round(cost, 6) AS cost FROM m WHERE step >= 0""",
+        "micro_clusters": f"""WITH {micro_clusters(MICRO_CLUSTERS)}
+SELECT g AS group, n, round(spread, 6) AS spread, (generate_subscripts(c, 1) - 1)::INTEGER AS coordinate,
+       round(unnest(c), 6) AS centroid FROM moved""",
+        "ward_clusters": f"""WITH RECURSIVE {micro_clusters(MICRO_CLUSTERS)},
+{ward_steps("moved", WARD_CLUSTERS)},
+merged AS (SELECT c.g AS cluster, unnest(c.of) AS g FROM (SELECT unnest(arg_max(groups, step)) AS c FROM m)),
+centred AS (SELECT vec_id, arg_min(moved.g, list_distance(v, c)) AS g FROM v, moved GROUP BY vec_id)
+SELECT vec_id, min(vec_id) OVER (PARTITION BY cluster) AS cluster FROM centred JOIN merged USING (g)""",
         "encode_fixed": _cells(f"{_VEC},\n{_ENC}", _ENC_OUT),
         "decode_fixed": _cells(
             f"{_VEC},\nlat AS (SELECT * FROM vec WHERE i <= {FIXED_ENCODER[-1]}),\n{_DEC}", _DEC_OUT

@@ -7,12 +7,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from themeweave.functions.text import TextOptions
 from themeweave.functions.vectors import cosine_similarity, ward_cost
 from themeweave.operators import network
-from themeweave.operators.clustering import cluster_summary, fit_clusters, ward_merges
+from themeweave.operators.clustering import cluster_summary, fit_clusters, fit_micro_clusters, ward_merges
 from themeweave.operators.network import NetShape
 from themeweave.operators.ordering import batches
 from themeweave.operators.scores import dense_scores, doc_topic_sum, nested_scores, wide_scores
@@ -51,6 +51,7 @@ NUM_WORDS = 50
 BATCH_SIZE = 64
 LANG_CLUSTERS = 4
 TURN_BITS = 20
+MICRO_CLUSTERS, WARD_CLUSTERS = 100, 10
 
 UNIGRAMS = TextOptions(stopwords=frozenset(STOP))
 BIGRAMS = TextOptions(stopwords=frozenset(STOP), ngram_range=(1, 2))
@@ -355,22 +356,32 @@ def ward_pair_cost_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("ward_merge_costs")
 def ward_merge_costs_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All merges of the label groups; their costs add up to the spread between groups."""
+    """All merges of the label groups, cheapest first; each side is named by its smallest label."""
     merges = ward_merges(label_summary(spark, sf_dir))
-    return merges.agg(F.count("*").alias("n_merges"), F.round(F.sum("cost"), 6).alias("total_cost"))
+    return merges.select("step", "left", "right", F.round("cost", 6).alias("cost"))
+
+
+def latent_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors(spark, sf_dir).select(F.col("vec_id").alias("doc_id"), F.col("features").alias("latent"))
+
+
+@query("micro_clusters")
+def micro_clusters_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Micro clusters of all vectors: cells of the grid, then one round of nearest means."""
+    found = fit_micro_clusters(latent_vectors(spark, sf_dir), MICRO_CLUSTERS, rounds=1)
+    cells = found.table.select("group", "n", "spread", F.posexplode("centroid").alias("coordinate", "value"))
+    return cells.select(
+        "group", "n", F.round("spread", 6).alias("spread"), "coordinate", F.round("value", 6).alias("centroid")
+    )
 
 
 @query("ward_clusters")
 def ward_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All vectors in ten clusters."""
-    latent = vectors(spark, sf_dir).select(F.col("vec_id").alias("doc_id"), F.col("features").alias("latent"))
-    labels = fit_clusters(latent, latent.count(), 10).label(latent)
-    sizes = labels.groupBy("cluster").agg(F.count("*").alias("size"))
-    return sizes.agg(
-        F.sum("size").alias("n_rows"),
-        F.count("*").alias("n_clusters"),
-        (F.min("size") >= 1).alias("min_size_ok"),
-    )
+    """All vectors in ten clusters, through a hundred micro clusters; a cluster is named by its smallest vector."""
+    latent = latent_vectors(spark, sf_dir)
+    labels = fit_clusters(latent, WARD_CLUSTERS, MICRO_CLUSTERS, rounds=1).label(latent)
+    first = F.min("doc_id").over(Window.partitionBy("cluster"))
+    return labels.select(F.col("doc_id").alias("vec_id"), first.alias("cluster"))
 
 
 # --- compression nets ---------------------------------------------------------------
