@@ -10,10 +10,12 @@ from conftest import SMALL, plan
 
 from themeweave import runtime
 from themeweave.functions.text import TextOptions
-from themeweave.operators.terms import analyze, explode_terms
-from themeweave.operators.tfidf import TfidfVectorizer
-from themeweave.operators.topics import cluster_freq, top_terms
+from themeweave.operators.scores import doc_topic_sum, nested_scores
+from themeweave.operators.terms import analyze, explode_terms, term_counts
+from themeweave.operators.tfidf import TfidfVectorizer, tfidf, vocabulary_join
+from themeweave.operators.topics import cluster_freq, label_join, top_terms
 from themeweave.operators.vocabulary import build_vocabulary, term_totals
+from themeweave.runtime import new_run_folder, store
 from themeweave.sources import corpus_scan
 
 
@@ -61,6 +63,25 @@ def test_vectors_need_no_shuffle(stored):
     assert "Exchange" not in plan(rows)
 
 
+def test_counts_weights_and_scores_need_no_shuffle(spark, stored):
+    corpus = corpus_scan(stored)
+    analyzed = analyze(corpus)
+    vocabulary = store(build_vocabulary(analyzed, 200, 2, 1.0, 100), f"{new_run_folder(spark)}/vocabulary")
+    words = spark.createDataFrame([(0, "the", 1.0), (1, "of", 2.0)], "topic int, term string, score double")
+    in_row = [
+        term_counts(analyzed), tfidf(analyzed, vocabulary), vocabulary_join(analyzed, vocabulary),
+        doc_topic_sum(corpus, words), nested_scores(corpus, words, 2),
+    ]
+    for result in in_row:
+        assert "Exchange" not in plan(result)
+
+
+def test_few_labels_are_broadcast(spark, stored):
+    labels = spark.range(200).selectExpr("id AS doc_id", "1 AS cluster")
+    text = plan(label_join(corpus_scan(stored), labels))
+    assert "BroadcastHashJoin" in text and "hashpartitioning" not in text
+
+
 def test_totals_shuffle_once_after_combining(stored):
     text = plan(term_totals(analyze(corpus_scan(stored))))
     tree = text.split("\n\n")[0]

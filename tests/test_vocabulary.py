@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 
 from themeweave.functions.text import TextOptions
 from themeweave.operators.ordering import batches, with_row_index
-from themeweave.operators.terms import analyze, explode_terms, term_counts
-from themeweave.operators.tfidf import TfidfVectorizer, tfidf, vector_cells
+from themeweave.operators import vocabulary as vocabulary_module
+from themeweave.operators.terms import analyze, counted_terms, term_counts
+from themeweave.operators.tfidf import TfidfVectorizer, l2_normalize, tfidf, vector_cells, vocabulary_join
 from themeweave.operators.vocabulary import (
     build_vocabulary,
     doc_freq,
@@ -36,7 +37,7 @@ def as_dict(totals):
 def test_totals_agree_in_both_forms(corpus):
     want = {"aa": (3, 4), "bb": (2, 2), "cc": (1, 1), "zz": (1, 1)}
     assert as_dict(term_totals(analyze(corpus))) == want
-    assert as_dict(doc_freq(term_counts(explode_terms(analyze(corpus))))) == want
+    assert as_dict(doc_freq(term_counts(analyze(corpus)))) == want
 
 
 def test_totals_on_a_real_corpus(spark, small_docs):
@@ -71,6 +72,32 @@ def test_top_vocab_breaks_ties_by_term(corpus):
     assert set(as_dict(top_vocab(term_totals(analyze(corpus)), 3))) == {"aa", "bb", "cc"}
 
 
+@pytest.mark.parametrize("most", [1, 2, 5, 17, 18, 19, 60, 100, 101, 500])
+@pytest.mark.parametrize("ranges", [2, 1024])
+def test_top_vocab_equals_sorting(spark, monkeypatch, most, ranges):
+    monkeypatch.setattr(vocabulary_module, "_RANGES", ranges)
+    rows = [(f"t{k * 37 % 101:03d}", 1, 10**9 if k == 3 else [7, 7, 7, 8, 500, 40_000][k % 6]) for k in range(101)]
+    totals = spark.createDataFrame(rows, "term string, df long, cf long")
+    want = sorted(rows, key=lambda r: (-r[2], r[0]))[:most]
+    assert sorted(map(tuple, top_vocab(totals, most).collect())) == sorted(want)
+
+
+def test_counts_in_the_row(spark):
+    terms = [(1, ["b", "a", "b", "é", "b"]), (2, []), (3, ["z"]), (4, ["q"] * 50)]
+    counted = counted_terms(spark.createDataFrame(terms, "doc_id long, terms array<string>")).collect()
+    assert {r.doc_id: [tuple(c) for c in r.counts] for r in counted} == {
+        1: [("a", 1), ("b", 3), ("é", 1)], 2: [], 3: [("z", 1)], 4: [("q", 50)],
+    }
+
+
+def test_unit_arrays(spark):
+    row = spark.range(1).select(
+        l2_normalize(F.array(F.lit(3.0), F.lit(4.0))).alias("a"), l2_normalize(F.array(F.lit(0.0))).alias("b"),
+        l2_normalize(F.array().cast("array<double>")).alias("c"),
+    ).first()
+    assert (row.a, row.b, row.c) == ([0.6, 0.8], [0.0], [])
+
+
 def test_row_index_over_many_partitions(spark):
     table = spark.range(1000).select((F.col("id") * 7919 % 1000).alias("key")).repartition(13)
     rows = with_row_index(table, "key").collect()
@@ -93,7 +120,7 @@ def model_weights(texts, idf_by_term):
         yield doc_id, {t: x / norm for t, x in row.items()}
 
 
-@pytest.mark.parametrize("max_rows", [1_000_000, 0])
+@pytest.mark.parametrize("max_rows", [1_000_000, 3, 1])
 def test_tfidf_long_form_and_vectors_match_the_model(corpus, max_rows, monkeypatch):
     from themeweave import runtime
 
@@ -103,7 +130,9 @@ def test_tfidf_long_form_and_vectors_match_the_model(corpus, max_rows, monkeypat
     assert [table[t].idx for t in sorted(table)] == list(range(len(table)))
     assert table["aa"].idf == pytest.approx(math.log(6 / 4) + 1)
 
-    long = {(r.doc_id, r.term): r.tfidf for r in tfidf(explode_terms(analyze(corpus)), vocabulary).collect()}
+    long = {(r.doc_id, r.term): r.tfidf for r in tfidf(analyze(corpus), vocabulary).collect()}
+    in_row = {(r.doc_id, r.term): r.tf for r in vocabulary_join(analyze(corpus), vocabulary).collect()}
+    assert in_row == {(d, t): n for d, text in enumerate(TEXTS) for t, n in Counter(models.terms(text)).items()}
     vectorizer = TfidfVectorizer.from_table(vocabulary, 10)
     cells = vector_cells(vectorizer.transform(analyze(corpus)).select("doc_id", "features"))
     vectors = {r.doc_id: {vectorizer.vocabulary[c.idx]: c.v for c in r.cells} for r in cells.collect()}

@@ -52,6 +52,26 @@ def drop_listed_tokens(tokens: DataFrame, stopwords: DataFrame, column: str = "t
     return lookup_join(tokens, listed, column, F.xxhash64("doc_id", "pos"), how="left_anti")
 
 
-def term_counts(terms: DataFrame) -> DataFrame:
-    """How often each term occurs in each document."""
-    return terms.groupBy("doc_id", "term").agg(F.count("*").alias("tf"))
+def counted_terms(analyzed: DataFrame, terms: str = "terms") -> DataFrame:
+    """Replace ``terms`` by ``counts``: ``<term, tf>`` of the document's distinct terms, in order.
+
+    The sorted array is run-length counted in its own row: the places where a run begins,
+    and from each to the next. Nothing is shuffled.
+    """
+    others = [c for c in analyzed.columns if c != terms]
+    now = F.sort_array(terms)
+    ordered = analyzed.select(*others, now.alias("_now"), F.size(terms).alias("_n"))
+    begins = lambda i: (i == 0) | (F.get("_now", i) != F.get("_now", i - 1))
+    places = F.filter(F.slice(F.sequence(F.lit(0), F.col("_n")), F.lit(1), F.col("_n")), begins)
+    runs = ordered.select(*others, "_now", "_n", places.alias("_at"))
+    nexts = F.concat(F.slice("_at", F.lit(2), F.size("_at")), F.array("_n"))
+    both = runs.select(*others, "_now", "_at", nexts.alias("_to"))
+    run = lambda i, j: F.struct(F.get("_now", i).alias("term"), (j - i).cast("long").alias("tf"))
+    # a document without terms has an end but no beginning
+    counts = F.zip_with("_at", F.slice("_to", F.lit(1), F.size("_at")), run)
+    return both.select(*others, counts.alias("counts"))
+
+
+def term_counts(analyzed: DataFrame) -> DataFrame:
+    """``<doc_id, term, tf>``: how often each term occurs in each document."""
+    return counted_terms(analyzed.select("doc_id", "terms")).select("doc_id", F.inline("counts"))

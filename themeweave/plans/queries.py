@@ -150,7 +150,7 @@ def analyze_trigrams_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("term_counts")
 def term_frequencies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return term_counts(explode_terms(analyze(documents(spark, sf_dir), UNIGRAMS)))
+    return term_counts(analyze(documents(spark, sf_dir), UNIGRAMS))
 
 
 # --- vocabulary and TF-IDF ----------------------------------------------------------
@@ -196,14 +196,12 @@ def inverse_doc_freq(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("vocab_join")
 def vocab_join_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    terms = explode_terms(analyze(documents(spark, sf_dir), UNIGRAMS))
-    return vocabulary_join(terms, pruned_vocabulary(spark, sf_dir))
+    return vocabulary_join(analyze(documents(spark, sf_dir), UNIGRAMS), pruned_vocabulary(spark, sf_dir))
 
 
 @query("tfidf")
 def tfidf_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
-    terms = explode_terms(analyze(documents(spark, sf_dir), UNIGRAMS))
-    weights = tfidf(terms, pruned_vocabulary(spark, sf_dir))
+    weights = tfidf(analyze(documents(spark, sf_dir), UNIGRAMS), pruned_vocabulary(spark, sf_dir))
     return weights.select("doc_id", "term", F.round("tfidf", 6).alias("tfidf"))
 
 
@@ -301,7 +299,7 @@ def stored_words(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("topic_scores")
 def topic_scores_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    sums = doc_topic_sum(tokenize_raw(documents(spark, sf_dir)), stored_words(spark, sf_dir))
+    sums = doc_topic_sum(documents(spark, sf_dir), stored_words(spark, sf_dir))
     return sums.withColumn("score", F.round("score", 6))
 
 

@@ -67,6 +67,11 @@ def spread(df: DataFrame, key: str = "doc_id") -> DataFrame:
     return df.repartition(4 * cores, key)
 
 
+def has_few_rows(table: DataFrame) -> bool:
+    """True when a table of numbers is small enough to broadcast. Counting stops one row beyond the limit."""
+    return table.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+
+
 def fits_broadcast(table: DataFrame, key: str) -> bool:
     """True when both the rows of ``table`` and the bytes of its text key are few.
 
