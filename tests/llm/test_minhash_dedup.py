@@ -67,6 +67,20 @@ def test_similar_sets_always_share_a_band_and_look_alike():
             assert (pair[0].astype(np.uint8) == pair[1].astype(np.uint8)).sum() >= minhash_dedup.LIKELY
 
 
+def test_leading_bits_never_count_too_few(monkeypatch):
+    monkeypatch.setattr(minhash_dedup, "SHORT_SET", 100)
+    rng = np.random.default_rng(6)
+    sets = [np.unique(drawn_set(rng, n)) for n in (3, 60, 90, 100, 101, 130, 700)]
+    sets += [np.unique(np.concatenate([sets[3][:80], drawn_set(rng, n)])) for n in (10, 20, 60)]
+    short = [minhash_dedup.leading_bits(s) for s in sets]
+    assert {s.dtype for s in short} == {np.dtype(np.uint16), np.dtype(np.uint32)}
+    for i, one in enumerate(sets):
+        counts = minhash_dedup.most_shared(short[i], short)
+        for other, count in zip(sets, counts):
+            assert len(np.intersect1d(one, other)) <= count <= len(other)
+        assert counts[i] == len(one)
+
+
 def test_names_of_sets():
     a = np.array([1, 2, 3], dtype=np.uint64)
     assert set_name(a) == set_name(a[::-1]) != set_name(a[:2])

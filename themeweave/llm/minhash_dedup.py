@@ -9,10 +9,12 @@ a class takes part in the search.
    after a round or two, and the share of equal coordinates is concentrated about the Jaccard similarity.
 2. Bands of ``ROWS`` coordinates are the keys of buckets. Sets with a similarity of 0.85 share none of the 32
    bands with probability ``(1 - 0.85 ** 4) ** 32``, less than 1e-10.
-3. Each member of a bucket is compared with the bucket's first member.
-4. Members of a bucket that these links leave in different groups are compared with each other: by sketch,
-   in tiles of bounded size, then on the full sets. Similar sets agree in fewer than ``LIKELY`` coordinates with
-   probability below 1e-10. No bucket is capped.
+3. Each set is compared with the first members of its buckets, at most two of them.
+4. Members of a bucket that these links leave in different groups are compared with each other, in tiles of
+   bounded size, once per pair: in the first band that both share. Similar sets agree in fewer than
+   ``LIKELY`` coordinates with probability below 1e-10. Then the leading bits of all hashes of both sets are
+   compared; equal hashes have equal leading bits, so this never counts too few, and only pairs that still
+   reach the limit leave the tile, to be compared on the full sets. No bucket is capped.
 5. Links join the classes into groups; a document gets the smallest id of its group.
 
 Defined results of :func:`near_copies`: a null or empty text, or one without words, has an empty set and is
@@ -44,6 +46,8 @@ BINS, ROWS = 128, 4
 LIKELY = 77
 #: Members compared with one first member in a block, and members of a side of a tile.
 BLOCK, TILE = 64, 1024
+#: Sets of up to this many hashes are told by 16 leading bits in a tile, larger ones by 32.
+SHORT_SET = 2048
 
 _BIN_BITS = BINS.bit_length() - 1
 _EMPTY = np.uint64(hashing.MASK)
@@ -127,11 +131,33 @@ def _set_rows(size: int):
                 seen.update(fresh)
                 names = [pa.array([name[k] for name in fresh], pa.int64()) for k in (0, 1)]
                 content = pa.array([sets[name].tobytes() for name in fresh], pa.binary())
-                yield pa.RecordBatch.from_arrays([*names, content], names=["high", "low", "items"])
+                short = pa.array([leading_bits(sets[name]).tobytes() for name in fresh], pa.binary())
+                yield pa.RecordBatch.from_arrays([*names, content, short], names=["high", "low", "items", "leading"])
 
     return work
 
 
+def leading_bits(hashes: np.ndarray) -> np.ndarray:
+    """The first 16 or 32 bits of every hash, in order."""
+    if len(hashes) <= SHORT_SET:
+        return np.sort((hashes >> np.uint64(48)).astype(np.uint16))
+    return np.sort((hashes >> np.uint64(32)).astype(np.uint32))
+
+
+def most_shared(one: np.ndarray, others: list[np.ndarray]) -> np.ndarray:
+    """For each of the others, no fewer elements than it shares with ``one``, from leading bits."""
+    here = np.zeros(1 << 16, dtype=bool)
+    here[one >> 16 if one.dtype == np.uint32 else one] = True
+    found = []
+    for other in others:
+        if one.dtype == other.dtype == np.uint32:
+            at = np.minimum(np.searchsorted(one, other), len(one) - 1)
+            found.append(int((one[at] == other).sum()))
+        else:
+            found.append(int(here[other >> 16 if other.dtype == np.uint32 else other].sum()))
+    return np.array(found, dtype=np.int64)
+
+
 def enough(shared: int | np.ndarray, n: int | np.ndarray, m: int | np.ndarray, percent: int) -> bool | np.ndarray:
     return 100 * shared >= percent * (n + m - shared)
 
@@ -186,8 +212,8 @@ def judged(pairs: DataFrame, contents: DataFrame, judge, percent: int, folder: s
 
 
 def _tile_rows(percent: int):
-    """Of rows sorted by tile: pairs of different groups whose sketches are alike."""
-    names = ("key", "first", "second", "block", "node", "n", "label", "sketch")
+    """Of rows sorted by tile: pairs of different groups that may link, in the first band that they share."""
+    names = ("key", "first", "second", "block", "node", "n", "label", "band", "sketch", "bands", "leading")
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         for batch in batches:
@@ -197,7 +223,12 @@ def _tile_rows(percent: int):
         for (_, one, two), members in groupby(rows(batches), key=lambda r: r[:3]):
             members = list(members)
             block, node, n, label = (np.array([m[k] for m in members], dtype=np.int64) for k in (3, 4, 5, 6))
-            drawn = np.stack([np.frombuffer(m[7], np.uint8) for m in members])
+            if (label == label[0]).all():
+                continue
+            band = members[0][7]
+            drawn = np.stack([np.frombuffer(m[8], np.uint8) for m in members])
+            keys = np.array([m[9] for m in members], dtype=np.int64)
+            short = [np.frombuffer(m[10], np.uint16 if m[5] <= SHORT_SET else np.uint32) for m in members]
             left, right = np.flatnonzero(block == one), np.flatnonzero(block == two)
             found = []
             for i in left:
@@ -205,29 +236,35 @@ def _tile_rows(percent: int):
                 fits &= (label[right] != label[i]) & enough(np.minimum(n[right], n[i]), n[right], n[i], percent)
                 some = right[fits]
                 if len(some):
-                    alike = some[(drawn[some] == drawn[i]).sum(axis=1) >= LIKELY]
-                    found += [(min(int(node[i]), k), max(int(node[i]), k)) for k in node[alike].tolist()]
+                    some = some[(drawn[some] == drawn[i]).sum(axis=1) >= LIKELY]
+                    some = some[(keys[some] == keys[i]).argmax(axis=1) == band]
+                    some = some[enough(most_shared(short[i], [short[k] for k in some]), n[some], n[i], percent)]
+                    found += [(min(int(node[i]), k), max(int(node[i]), k)) for k in node[some].tolist()]
             yield _pair_batch(found)
 
     return work
 
 
-def _apart(members: DataFrame, nodes: DataFrame, labels: DataFrame, percent: int, folder: str) -> DataFrame:
-    """Likely pairs of a bucket that lie in different groups, from ``<key, node>`` and ``<node, label>``."""
-    placed = members.select("key", "node").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+def _apart(members: DataFrame, nodes: DataFrame, labels: DataFrame, sets, percent: int, folder: str) -> tuple[DataFrame, DataFrame]:
+    """Pairs of a bucket that lie in different groups and may link, and the sets of the nodes looked at.
+
+    ``members`` is ``<key, band, node>``, ``labels`` ``<node, label>``; ``sets`` makes the sets of some nodes.
+    """
+    placed = members.select("key", "band", "node").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     placed = store(placed, f"{folder}-placed")
     mixed = placed.groupBy("key").agg(F.count("*").alias("members"), F.min("label").alias("low"), F.max("label").alias("high"))
     mixed = store(mixed.where("low != high").select("key", "members"), f"{folder}-mixed")
     total = mixed.agg(F.sum("members").alias("n")).first().n or 0
+    rows = store(join_weighted(placed, mixed, ["key"], "members", total), f"{folder}-rows")
+    held = sets(rows.select("node").distinct())
     sides = F.ceil(F.col("members") / TILE).cast("int")
-    rows = join_weighted(placed, mixed, ["key"], "members", total).withColumn("sides", sides)
-    rows = rows.withColumn("block", F.pmod(F.xxhash64("node"), F.col("sides")).cast("int"))
-    rows = rows.join(nodes.select("node", "n", "sketch"), "node")
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("sides") - 1)))
+    rows = rows.withColumn("sides", sides).withColumn("block", F.pmod(F.xxhash64("node"), F.col("sides")).cast("int"))
+    drawn = nodes.select("node", "n", "sketch", "bands").join(held.select("node", "leading"), "node")
+    rows = rows.join(drawn, "node").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("sides") - 1)))
     tiled = rows.withColumn("first", F.least("block", "other")).withColumn("second", F.greatest("block", "other"))
     tile = ("key", "first", "second")
     found = tiled.repartition(*tile).sortWithinPartitions(*tile).mapInArrow(_tile_rows(percent), PAIRS)
-    return store(found.distinct(), folder)
+    return store(found, folder), held
 
 
 def near_copies(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
@@ -244,20 +281,27 @@ def near_copies(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) ->
     chosen = drawn.select(F.col("row").alias("node"), "n", "bands", "sketch").join(classes.select("node"), "node", "left_semi")
     nodes = store(chosen, f"{folder}/nodes")
 
-    keyed = nodes.select(F.explode("bands").alias("key"), "node")
+    keyed = nodes.select(F.posexplode("bands").alias("band", "key"), "node")
     buckets = keyed.groupBy("key").agg(F.count("*").alias("members"), F.min("node").alias("first"))
     buckets = store(buckets.where("members > 1"), f"{folder}/buckets")
     total = buckets.agg(F.sum("members").alias("n")).first().n or 0
     members = store(join_weighted(keyed, buckets, ["key"], "members", total), f"{folder}/members")
 
-    stars = members.where("node != first").select(F.col("first").alias("a"), F.col("node").alias("b")).distinct()
+    # two first members per node; what they leave apart is compared below
+    firsts = members.where("node != first").groupBy("node").agg(F.min("first").alias("low"), F.max("first").alias("high"))
+    stars = firsts.select(F.explode(F.array_distinct(F.array("low", "high"))).alias("a"), F.col("node").alias("b"))
     stars = store(stars, f"{folder}/stars")
     sketches = nodes.select("node", F.col("sketch").alias("content"))
     likely = judged(stars, sketches, _alike, percent, f"{folder}/likely")
-    links = linked_sets(likely, classes, texts, size, percent, f"{folder}/star-links")
+
+    def sets(wanted: DataFrame, path: str) -> DataFrame:
+        return class_sets(wanted, classes, texts, size, f"{folder}/{path}")
+
+    ends = likely.select(F.col("a").alias("node")).union(likely.select("b")).distinct()
+    links = judged(likely, sets(ends, "star-sets").select("node", "content"), _linked, percent, f"{folder}/star-links")
     grouped = components(links, f"{folder}/stars-joined")
-    apart = _apart(members, nodes, grouped, percent, f"{folder}/apart").join(stars, ["a", "b"], "left_anti")
-    more = linked_sets(store(apart, f"{folder}/rest"), classes, texts, size, percent, f"{folder}/more-links")
+    apart, held = _apart(members, nodes, grouped, lambda wanted: sets(wanted, "sets"), percent, f"{folder}/apart")
+    more = judged(apart, held.select("node", "content"), _linked, percent, f"{folder}/more-links")
     labels = components(store(links.unionByName(more), f"{folder}/links"), f"{folder}/joined")
 
     named = store(classes.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")), f"{folder}/named")
@@ -276,11 +320,10 @@ def near_copies(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) ->
     )
 
 
-def linked_sets(pairs: DataFrame, classes: DataFrame, texts: DataFrame, size: int, percent: int, folder: str) -> DataFrame:
-    """The pairs whose full sets link. Only texts of classes in a pair are read again."""
-    ends = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-    wanted = store(ends.join(classes, "node").select("node", "high", "low", "text_key"), f"{folder}-wanted")
+def class_sets(wanted: DataFrame, classes: DataFrame, texts: DataFrame, size: int, folder: str) -> DataFrame:
+    """``<node, content, leading>`` of the wanted classes. Only texts of these are read again."""
+    wanted = store(wanted.join(classes, "node").select("node", "high", "low", "text_key"), f"{folder}-wanted")
     again = texts.join(wanted.select("text_key").distinct(), "text_key", "left_semi").select("text")
-    sets = again.mapInArrow(_set_rows(size), "high long, low long, items binary").join(wanted, ["high", "low"])
-    sets = store(sets.groupBy("node").agg(F.first("items").alias("content")), f"{folder}-sets")
-    return judged(pairs, sets, _linked, percent, folder)
+    made = again.mapInArrow(_set_rows(size), "high long, low long, items binary, leading binary").join(wanted, ["high", "low"])
+    one = made.groupBy("node").agg(F.first("items").alias("content"), F.first("leading").alias("leading"))
+    return store(one, folder)
