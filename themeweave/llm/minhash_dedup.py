@@ -245,26 +245,25 @@ def _tile_rows(percent: int):
     return work
 
 
-def _apart(members: DataFrame, nodes: DataFrame, labels: DataFrame, sets, percent: int, folder: str) -> tuple[DataFrame, DataFrame]:
-    """Pairs of a bucket that lie in different groups and may link, and the sets of the nodes looked at.
+def _apart(members: DataFrame, nodes: DataFrame, labels: DataFrame, sets: DataFrame, percent: int, folder: str) -> DataFrame:
+    """Pairs of a bucket that lie in different groups and may link.
 
-    ``members`` is ``<key, band, node>``, ``labels`` ``<node, label>``; ``sets`` makes the sets of some nodes.
+    ``members`` is ``<key, band, node>``, ``labels`` ``<node, label>``, ``sets`` ``<node, leading>``.
     """
     placed = members.select("key", "band", "node").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     placed = store(placed, f"{folder}-placed")
     mixed = placed.groupBy("key").agg(F.count("*").alias("members"), F.min("label").alias("low"), F.max("label").alias("high"))
     mixed = store(mixed.where("low != high").select("key", "members"), f"{folder}-mixed")
     total = mixed.agg(F.sum("members").alias("n")).first().n or 0
-    rows = store(join_weighted(placed, mixed, ["key"], "members", total), f"{folder}-rows")
-    held = sets(rows.select("node").distinct())
+    rows = join_weighted(placed, mixed, ["key"], "members", total)
     sides = F.ceil(F.col("members") / TILE).cast("int")
     rows = rows.withColumn("sides", sides).withColumn("block", F.pmod(F.xxhash64("node"), F.col("sides")).cast("int"))
-    drawn = nodes.select("node", "n", "sketch", "bands").join(held.select("node", "leading"), "node")
+    drawn = nodes.select("node", "n", "sketch", "bands").join(sets.select("node", "leading"), "node")
     rows = rows.join(drawn, "node").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("sides") - 1)))
     tiled = rows.withColumn("first", F.least("block", "other")).withColumn("second", F.greatest("block", "other"))
     tile = ("key", "first", "second")
     found = tiled.repartition(*tile).sortWithinPartitions(*tile).mapInArrow(_tile_rows(percent), PAIRS)
-    return store(found, folder), held
+    return store(found, folder)
 
 
 def near_copies(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
@@ -294,14 +293,12 @@ def near_copies(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) ->
     sketches = nodes.select("node", F.col("sketch").alias("content"))
     likely = judged(stars, sketches, _alike, percent, f"{folder}/likely")
 
-    def sets(wanted: DataFrame, path: str) -> DataFrame:
-        return class_sets(wanted, classes, texts, size, f"{folder}/{path}")
-
-    ends = likely.select(F.col("a").alias("node")).union(likely.select("b")).distinct()
-    links = judged(likely, sets(ends, "star-sets").select("node", "content"), _linked, percent, f"{folder}/star-links")
+    sets = class_sets(members.select("node").distinct(), classes, texts, size, f"{folder}/sets")
+    full = sets.select("node", "content")
+    links = judged(likely, full, _linked, percent, f"{folder}/star-links")
     grouped = components(links, f"{folder}/stars-joined")
-    apart, held = _apart(members, nodes, grouped, lambda wanted: sets(wanted, "sets"), percent, f"{folder}/apart")
-    more = judged(apart, held.select("node", "content"), _linked, percent, f"{folder}/more-links")
+    apart = _apart(members, nodes, grouped, sets, percent, f"{folder}/apart")
+    more = judged(apart, full, _linked, percent, f"{folder}/more-links")
     labels = components(store(links.unionByName(more), f"{folder}/links"), f"{folder}/joined")
 
     named = store(classes.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")), f"{folder}/named")
@@ -310,9 +307,9 @@ def near_copies(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) ->
     placed = join_weighted(named.drop("doc"), smallest, ["label"], "members", classes.count())
     placed = store(placed.select("high", "low", "copies", "component_id"), f"{folder}/placed")
     rows = drawn.where("n > 0").select("high", "low", "doc", "n")
-    full = join_weighted(rows, placed, ["high", "low"], "copies", drawn.count()).select("doc", "n", "component_id")
+    whole = join_weighted(rows, placed, ["high", "low"], "copies", drawn.count()).select("doc", "n", "component_id")
     empty = drawn.where("n = 0").select("doc", "n", F.col("doc").alias("component_id"))
-    return full.unionByName(empty).select(
+    return whole.unionByName(empty).select(
         F.col("doc").alias("doc_id"),
         F.col("n").cast("long").alias("n_shingles"),
         "component_id",
@@ -321,9 +318,13 @@ def near_copies(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) ->
 
 
 def class_sets(wanted: DataFrame, classes: DataFrame, texts: DataFrame, size: int, folder: str) -> DataFrame:
-    """``<node, content, leading>`` of the wanted classes. Only texts of these are read again."""
+    """``<node, content, leading>`` of the wanted classes. Only texts of these are read again.
+
+    The joins are shuffled at any size, so that what they cost follows the input.
+    """
     wanted = store(wanted.join(classes, "node").select("node", "high", "low", "text_key"), f"{folder}-wanted")
-    again = texts.join(wanted.select("text_key").distinct(), "text_key", "left_semi").select("text")
-    made = again.mapInArrow(_set_rows(size), "high long, low long, items binary, leading binary").join(wanted, ["high", "low"])
+    again = texts.join(wanted.select("text_key").distinct().hint("shuffle_hash"), "text_key", "left_semi").select("text")
+    made = again.mapInArrow(_set_rows(size), "high long, low long, items binary, leading binary")
+    made = made.join(wanted.hint("shuffle_hash"), ["high", "low"])
     one = made.groupBy("node").agg(F.first("items").alias("content"), F.first("leading").alias("leading"))
     return store(one, folder)
