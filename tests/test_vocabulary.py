@@ -90,6 +90,16 @@ def test_counts_in_the_row(spark):
     }
 
 
+def test_long_documents_are_counted_in_proportion(spark):
+    """A sort or a norm per element would take hours here."""
+    docs = spark.range(3).selectExpr("id AS doc_id", "transform(sequence(1, 200000), i -> concat('t', i * 7919 % 50021)) AS terms")
+    counts = counted_terms(docs).selectExpr("size(counts) AS n", "aggregate(counts, 0L, (a, c) -> a + c.tf) AS total").collect()
+    assert [(r.n, r.total) for r in counts] == [(50021, 200000)] * 3
+    unit = docs.select(l2_normalize(F.transform("terms", lambda t: F.length(t).cast("double"))).alias("v"))
+    norms = unit.selectExpr("aggregate(v, 0D, (a, x) -> a + x * x) AS n").collect()
+    assert [r.n for r in norms] == pytest.approx([1.0] * 3)
+
+
 def test_unit_arrays(spark):
     row = spark.range(1).select(
         l2_normalize(F.array(F.lit(3.0), F.lit(4.0))).alias("a"), l2_normalize(F.array(F.lit(0.0))).alias("b"),

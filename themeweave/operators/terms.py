@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from themeweave.functions.text import (
     TextOptions,
@@ -11,6 +11,7 @@ from themeweave.functions.text import (
     remove_stopwords,
     tokenize,
 )
+from themeweave.functions.vectors import once
 from themeweave.runtime import lookup_join
 
 
@@ -58,18 +59,20 @@ def counted_terms(analyzed: DataFrame, terms: str = "terms") -> DataFrame:
     The sorted array is run-length counted in its own row: the places where a run begins,
     and from each to the next. Nothing is shuffled.
     """
+
+    def begins(now: Column) -> Column:
+        places = F.slice(F.sequence(F.lit(0), F.size(now)), F.lit(1), F.size(now))
+        return F.filter(places, lambda i: (i == 0) | (F.get(now, i) != F.get(now, i - 1)))
+
+    def runs(now: Column, at: Column) -> Column:
+        # a document without terms has an end but no beginning
+        nexts = F.slice(F.concat(F.slice(at, F.lit(2), F.size(at)), F.array(F.size(now))), F.lit(1), F.size(at))
+        run = lambda i, j: F.struct(F.get(now, i).alias("term"), (j - i).cast("long").alias("tf"))
+        return F.zip_with(at, nexts, run)
+
     others = [c for c in analyzed.columns if c != terms]
-    now = F.sort_array(terms)
-    ordered = analyzed.select(*others, now.alias("_now"), F.size(terms).alias("_n"))
-    begins = lambda i: (i == 0) | (F.get("_now", i) != F.get("_now", i - 1))
-    places = F.filter(F.slice(F.sequence(F.lit(0), F.col("_n")), F.lit(1), F.col("_n")), begins)
-    runs = ordered.select(*others, "_now", "_n", places.alias("_at"))
-    nexts = F.concat(F.slice("_at", F.lit(2), F.size("_at")), F.array("_n"))
-    both = runs.select(*others, "_now", "_at", nexts.alias("_to"))
-    run = lambda i, j: F.struct(F.get("_now", i).alias("term"), (j - i).cast("long").alias("tf"))
-    # a document without terms has an end but no beginning
-    counts = F.zip_with("_at", F.slice("_to", F.lit(1), F.size("_at")), run)
-    return both.select(*others, counts.alias("counts"))
+    counts = once(F.sort_array(terms), lambda now: once(begins(now), lambda at: runs(now, at)))
+    return analyzed.select(*others, counts.alias("counts"))
 
 
 def term_counts(analyzed: DataFrame) -> DataFrame:

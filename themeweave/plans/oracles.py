@@ -6,16 +6,18 @@ from themeweave.functions.text import TOKEN_PATTERN
 from themeweave.operators.clustering import DIGITS
 from themeweave.plans.queries import (
     BATCH_SIZE,
+    FIXED_DECODER,
     FIXED_ENCODER,
     FIXED_GENERATOR,
     LANG_CLUSTERS,
+    LOG_EPOCHS,
     MAX_DF,
     MICRO_CLUSTERS,
     MIN_DF,
+    NUM_TOPICS,
     NUM_WORDS,
     STOP,
     TOP_FEATURES,
-    TURN_BITS,
     WARD_CLUSTERS,
 )
 
@@ -158,7 +160,7 @@ _AUTO_WIDTHS = FIXED_ENCODER + FIXED_ENCODER[-2::-1]
 _ENC, _ENC_OUT = _stack("vec", "enc", 3, FIXED_ENCODER)
 _REAL, _REAL_OUT = _stack("vec", "real", 3, _AUTO_WIDTHS)
 _FAKE, _FAKE_OUT = _stack(_GEN_OUT, "fake", 3, _AUTO_WIDTHS)
-_DEC, _DEC_OUT = _stack("lat", "dec", 5, FIXED_ENCODER[::-1])
+_DEC, _DEC_OUT = _stack("vec", "dec", 5, FIXED_DECODER)
 
 
 def _cells(ctes: str, last: str) -> str:
@@ -209,7 +211,7 @@ SELECT cluster, term, count(*) AS f FROM t GROUP BY cluster, term""",
 SELECT topic, count(*)::INTEGER AS n_terms, arg_min(term, rank) AS first_term,
        round(sum(score), 6) AS total_score FROM tw GROUP BY topic""",
         "conversation_topic_words": f"""WITH {scored(
-            False, table="conversations", doc_id=f"conv_id * {1 << TURN_BITS} + turn", cluster="role"
+            False, table="conversations", doc_id="row_number() OVER (ORDER BY conv_id, turn) - 1", cluster="role"
         )} SELECT topic, rank, term, round(score, 6) AS score FROM tw""",
         "topic_scores": f"WITH {doc_scores()} SELECT doc_id, topic, round(score, 6) AS score FROM sums",
         "topic_scores_dense": f"""WITH {doc_scores()}
@@ -243,9 +245,7 @@ merged AS (SELECT c.g AS cluster, unnest(c.of) AS g FROM (SELECT unnest(arg_max(
 centred AS (SELECT vec_id, arg_min(moved.g, list_distance(v, c)) AS g FROM v, moved GROUP BY vec_id)
 SELECT vec_id, min(vec_id) OVER (PARTITION BY cluster) AS cluster FROM centred JOIN merged USING (g)""",
         "encode_fixed": _cells(f"{_VEC},\n{_ENC}", _ENC_OUT),
-        "decode_fixed": _cells(
-            f"{_VEC},\nlat AS (SELECT * FROM vec WHERE i <= {FIXED_ENCODER[-1]}),\n{_DEC}", _DEC_OUT
-        ),
+        "decode_fixed": _cells(f"{_VEC},\n{_DEC}", _DEC_OUT),
         "reconstruct_fixed": _cells(f"{_VEC},\n{_REAL}", _REAL_OUT),
         "generate_fixed": _cells(f"{_VEC},\n{_GEN}", _GEN_OUT),
         "cosine_similarity": f"""WITH {_VEC},\n{_REAL},\n{_cosine("real_cos", "vec", _REAL_OUT)}
@@ -262,9 +262,19 @@ SELECT net, layer, n_in::INTEGER AS n_in, n_out::BIGINT AS n_out, true AS in_bou
   ('generator', 'input', 20, 20), ('generator', 'hidden', 20, 12), ('generator', 'output', 12, v),
   ('encoder', 'hidden', v, 8), ('encoder', 'output', 8, 4),
   ('decoder', 'hidden', 4, 8), ('decoder', 'output', 8, v)) AS layers(net, layer, n_in, n_out)""",
-        "fit_compressor": """SELECT 3::BIGINT AS n_epochs, true AS loss_finite, true AS loss_falls,
-       true AS norms_ok FROM (SELECT count(*) FROM documents)""",
-        "extract_topics": """SELECT count(*) AS n_docs, 8::BIGINT AS n_topics, true AS words_per_topic_ok,
-       count(*) * 8 AS n_scores FROM documents""",
+        "epoch_loss_stats": f"""SELECT (doc_id % {LOG_EPOCHS})::INTEGER AS epoch,
+       round(avg(g), 6) AS gen_mean, round(stddev_pop(g), 6) AS gen_std,
+       round(avg(d), 6) AS discr_mean, round(stddev_pop(d), 6) AS discr_std
+FROM (SELECT doc_id, -length(text) / (length(text) + 100.0::DOUBLE) AS g, -(length(text) + 10.0::DOUBLE) / (length(text) + 50) AS d
+      FROM documents) GROUP BY 1""",
+        "column_norms": f"""WITH {_VEC},
+norms AS (SELECT vec_id, sqrt(sum(x * x)) AS norm FROM vec GROUP BY vec_id)
+SELECT label::VARCHAR AS layer, round(max(norm), 6) AS max_norm FROM norms JOIN embeddings USING (vec_id) GROUP BY label""",
+        "fit_compressor": f"""WITH {lexicon}
+SELECT 3::BIGINT AS n_epochs, true AS loss_finite, true AS loss_falls, true AS norms_ok, count(*)::INTEGER AS n_terms FROM vocab""",
+        "extract_topics": f"""WITH {totals(True)}
+SELECT any_value(n_docs) AS n_docs, {NUM_TOPICS}::BIGINT AS n_topics, true AS words_per_topic_ok,
+       any_value(n_docs) * {NUM_TOPICS} AS n_scores, count(*) AS n_terms
+FROM totals, n WHERE df >= {MIN_DF} AND df <= {MAX_DF} * n_docs""",
     }
     return sql

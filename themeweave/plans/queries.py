@@ -14,7 +14,7 @@ from themeweave.functions.vectors import cosine_similarity, ward_cost
 from themeweave.operators import network
 from themeweave.operators.clustering import cluster_summary, fit_clusters, fit_micro_clusters, ward_merges
 from themeweave.operators.network import NetShape
-from themeweave.operators.ordering import batches
+from themeweave.operators.ordering import batches, with_row_index
 from themeweave.operators.scores import dense_scores, doc_topic_sum, nested_scores, wide_scores
 from themeweave.operators.terms import analyze, drop_listed_tokens, explode_terms, term_counts, tokenize_raw
 from themeweave.operators.tfidf import TfidfVectorizer, tfidf, vector_cells, vocabulary_join
@@ -47,10 +47,10 @@ from themeweave.sources import corpus_scan, noise_rows
 STOP = ("the", "of", "and", "to", "in", "der", "die", "und", "le", "la", "de", "el", "que")
 MIN_DF, MAX_DF = 15, 0.95
 TOP_FEATURES = 500
-NUM_WORDS = 50
+NUM_TOPICS, NUM_WORDS = 20, 50
 BATCH_SIZE = 64
 LANG_CLUSTERS = 4
-TURN_BITS = 20
+LOG_EPOCHS = 5
 MICRO_CLUSTERS, WARD_CLUSTERS = 100, 10
 
 UNIGRAMS = TextOptions(stopwords=frozenset(STOP))
@@ -59,6 +59,8 @@ BIGRAMS = TextOptions(stopwords=frozenset(STOP), ngram_range=(1, 2))
 #: Layer widths of the nets with closed-form weights.
 FIXED_GENERATOR = (64, 64, 16, 64)
 FIXED_ENCODER = (64, 8, 4)
+#: A decoder that takes whole vectors.
+FIXED_DECODER = (64, 8, 64)
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -284,9 +286,9 @@ def topic_words_nested_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("conversation_topic_words")
 def conversation_topic_words_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A second corpus: turns of conversations, with the role as the cluster."""
-    turns = spark.read.parquet(f"{sf_dir}/conversations.parquet")
-    key = F.shiftleft(F.col("conv_id"), TURN_BITS) + F.col("turn")
-    corpus = corpus_scan(turns, doc_id=key, keep=("role",)).withColumnRenamed("role", "cluster")
+    turns = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
+    numbered = with_row_index(turns, "conv_id", "turn", name="doc_id")
+    corpus = corpus_scan(numbered, keep=("role",)).withColumnRenamed("role", "cluster")
     terms = explode_terms(analyze(corpus, UNIGRAMS), ("cluster", "doc_id"))
     words = topics_matrix(terms, topic_number(corpus), NUM_WORDS, ids_are_compact(corpus))
     return words.withColumn("score", F.round("score", 6))
@@ -385,12 +387,11 @@ def ward_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- compression nets ---------------------------------------------------------------
 
 
-def fixed_weights(spark: SparkSession) -> DataFrame:
+def fixed_weights(spark: SparkSession, decoder: tuple[int, ...] = FIXED_ENCODER[::-1]) -> DataFrame:
     """Closed-form weights: sine kernels over the root of the width, cosine biases."""
     widths = dict(zip(network.GENERATOR, zip(FIXED_GENERATOR, FIXED_GENERATOR[1:])))
     widths |= dict(zip(network.ENCODER, zip(FIXED_ENCODER, FIXED_ENCODER[1:])))
-    back = FIXED_ENCODER[::-1]
-    widths |= dict(zip(network.DECODER, zip(back, back[1:])))
+    widths |= dict(zip(network.DECODER, zip(decoder, decoder[1:])))
     unit = F.col("row_idx") + 1
     kernel = F.transform(
         F.sequence(F.lit(1), F.col("n_in")),
@@ -400,8 +401,8 @@ def fixed_weights(spark: SparkSession) -> DataFrame:
     return network.output_units(spark, widths).select("net", "layer", "row_idx", kernel.alias("w"), bias.alias("b"))
 
 
-def fixed_net(spark: SparkSession):
-    return network.share(spark, network.load_weights(fixed_weights(spark)))
+def fixed_net(spark: SparkSession, **how):
+    return network.share(spark, network.load_weights(fixed_weights(spark, **how)))
 
 
 def cells_of(rows: DataFrame, column: str) -> DataFrame:
@@ -417,9 +418,9 @@ def encode_fixed_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("decode_fixed")
 def decode_fixed_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first coordinates of each vector serve as its latent vector."""
-    latent = vectors(spark, sf_dir).select("vec_id", F.slice("features", 1, FIXED_ENCODER[-1]).alias("latent"))
-    return cells_of(network.decode(latent, fixed_net(spark)), "decoded")
+    """Each vector serves as a latent vector."""
+    latent = vectors(spark, sf_dir).select("vec_id", F.col("features").alias("latent"))
+    return cells_of(network.decode(latent, fixed_net(spark, decoder=FIXED_DECODER)), "decoded")
 
 
 @query("reconstruct_fixed")
@@ -500,27 +501,51 @@ def initial_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     return per_layer.select("net", "layer", "n_in", "n_out", in_bounds.alias("in_bounds"))
 
 
+@query("epoch_loss_stats")
+def epoch_loss_stats_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A training log with a batch per document, whose losses follow from its length."""
+    table = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    length = F.length("text").cast("double")
+    log = table.select(
+        (F.col("doc_id") % LOG_EPOCHS).cast("int").alias("epoch"), F.lit(0).alias("part"), F.col("doc_id").alias("batch"),
+        (-length / (length + 100)).alias("gen_loss"), (-(length + 10) / (length + 50)).alias("discr_loss"),
+    )
+    stats = epoch_loss_stats(log)
+    return stats.select("epoch", *[F.round(c, 6).alias(c) for c in ("gen_mean", "gen_std", "discr_mean", "discr_std")])
+
+
+@query("column_norms")
+def column_norms_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Largest norm of a unit: each label's vectors as the units of a layer."""
+    rows = vectors(spark, sf_dir).select(
+        F.lit("net").alias("net"), F.col("label").cast("string").alias("layer"), F.col("features").alias("w")
+    )
+    return column_norms(rows).select("layer", F.round("max_norm", 6).alias("max_norm"))
+
+
+#: Layer widths of the nets that the queries train.
+NARROW = dict(noise_dim=20, generator_hidden_dim=64, discriminator_hidden_dim=64, latent_space_dim=16)
+
+
 @query("fit_compressor")
 def fit_compressor_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Nets trained on the TF-IDF rows of all documents."""
-    corpus = documents(spark, sf_dir)
-    analyzed = analyze(corpus, UNIGRAMS)
-    vocabulary = store(
-        build_vocabulary(analyzed, corpus.count(), 2, MAX_DF, TOP_FEATURES), f"{new_run_folder(spark)}/vocabulary"
-    )
-    rows = TfidfVectorizer.from_table(vocabulary, TOP_FEATURES).transform(analyzed).select("doc_id", "features")
-    model = TextCompressor(
-        num_epochs=3, noise_dim=20, generator_hidden_dim=64, discriminator_hidden_dim=64, latent_space_dim=16, seed=1
-    ).fit(rows)
+    """Nets trained on the TF-IDF rows of all documents, over the whole pruned vocabulary."""
+    vocabulary = pruned_vocabulary(spark, sf_dir)
+    size = vocabulary.count()
+    vectorizer = TfidfVectorizer.from_table(vocabulary, size)
+    rows = vectorizer.transform(analyze(documents(spark, sf_dir), UNIGRAMS)).select("doc_id", "features")
+    rows = store(rows, f"{new_run_folder(spark)}/features")
+    model = TextCompressor(num_epochs=3, seed=1, **NARROW).fit(rows)
     limited = (F.col("net").isin("generator", "decoder")) & (F.col("layer") == "output")
     norms = column_norms(model.weights).filter(limited).agg((F.max("max_norm") <= 1.0).alias("norms_ok"))
+    widest = model.weights.agg(F.max(F.size("w")).alias("n_terms"))
     stats = epoch_loss_stats(model.training_log)
     losses = stats.agg(
         F.count("*").alias("n_epochs"),
         F.min(~F.isnan("gen_mean") & ~F.isnan("discr_mean")).alias("loss_finite"),
         (F.max_by("discr_mean", "epoch") < F.min_by("discr_mean", "epoch")).alias("loss_falls"),
     )
-    return side_by_side(losses, norms)
+    return side_by_side(losses, norms, widest)
 
 
 # --- whole pipeline -----------------------------------------------------------------
@@ -529,16 +554,16 @@ def fit_compressor_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 def extract(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, TopicModel]:
     table = spark.read.parquet(f"{sf_dir}/documents.parquet")
     extractor = TopicExtractor(
-        num_topics=8,
-        max_num_words=20,
-        min_df=5,
+        num_topics=NUM_TOPICS,
+        max_num_words=NUM_WORDS,
+        min_df=MIN_DF,
         max_df=MAX_DF,
         stopwords=set(STOP),
         ngram_range=(1, 2),
-        max_features=1000,
-        num_epochs=3,
-        batch_size=BATCH_SIZE,
+        num_epochs=5,
+        batch_size=128,
         seed=11,
+        **NARROW,
     )
     return table, extractor.fit(table)
 
@@ -549,9 +574,10 @@ def extract_topics_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     table, model = extract(spark, sf_dir)
     sizes = model.topics.agg(F.sum("n_docs").alias("n_docs"), F.count("*").alias("n_topics"))
     words = model.topic_words.groupBy("topic").agg(F.count("*").alias("n"), F.max("rank").alias("last"))
-    words_ok = words.agg((F.min((F.col("n") == F.col("last")) & (F.col("n") <= 20))).alias("words_per_topic_ok"))
+    words_ok = words.agg((F.min((F.col("n") == F.col("last")) & (F.col("n") <= NUM_WORDS))).alias("words_per_topic_ok"))
     scores = model.topic_scores_dense(table).agg(F.count("*").alias("n_scores"))
-    return side_by_side(sizes, words_ok, scores)
+    terms = model.vocabulary.agg(F.count("*").alias("n_terms"))
+    return side_by_side(sizes, words_ok, scores, terms)
 
 
 def extracted_topic_words(spark: SparkSession, sf_dir: str) -> DataFrame:
