@@ -85,6 +85,16 @@ def test_repeated_rows_and_missing_ids(spark):
     assert words == [(-1, 0), (-1, 0), (1, k), (1, k), (2, k)]
 
 
+def test_different_texts_under_one_id(spark):
+    first = " ".join(f"word{k} stands" for k in range(40))
+    other = " ".join(f"unlike{k} holds" for k in range(40))
+    frame = documents(spark, [(1, first), (2, first), (2, other)])
+    gone = {(r.doc_id, r.n_bytes): r.n_removed for r in suffix_array.remove_repeats(frame).collect()}
+    assert gone == {(1, len(first)): 0, (2, len(first)): len(first), (2, len(other)): 0}
+    words = sorted((r.doc_id, r.kept) for r in suffix_tree.remove_repeats(frame).collect())
+    assert words == [(1, first), (2, ""), (2, other)]
+
+
 def test_empty_table(spark):
     docs = documents(spark, [])
     assert suffix_array.remove_repeats(docs).count() == 0

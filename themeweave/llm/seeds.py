@@ -51,8 +51,8 @@ def id_of(doc: int) -> int | None:
 
 
 def document_key(docs: DataFrame) -> DataFrame:
-    """``<doc, sub, text>``. Rows without an id come first, told apart by the hash of their text."""
-    sub = F.when(F.col("doc_id").isNull(), F.xxhash64(text_of())).otherwise(F.lit(0))
+    """``<doc, sub, text>``. Rows without an id come first; rows that share an id are told apart by the hash of their text."""
+    sub = F.xxhash64(text_of())
     first = F.lit(NO_ID)
     return docs.select(
         F.coalesce(F.col("doc_id").cast("long"), first).alias("doc"), sub.cast("long").alias("sub"), text_of().alias("text")

@@ -12,8 +12,9 @@ string that occurs in two places meets itself in one block. A block is at most a
 a megabyte, so its sequences stay in memory and need no files on the machine.
 
 Defined results of :func:`remove_repeats`: a null or empty text has no bytes; repeated rows
-(same id, same text) are one document and get the same result each; rows without an id come
-before all others, told apart by their text; extra columns are not used.
+(same id, same text) are one document and get the same result each; different texts under one
+id are documents of their own, in the order of their hashes; rows without an id come before all others, told apart
+in the same way; an empty table gives no rows; texts of any length are read whole; extra columns are not used.
 """
 
 from __future__ import annotations
