@@ -9,6 +9,8 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
+
 from .corpus_rows import documents
 
 from themeweave.llm import language_model, recurrent_model as net
@@ -62,6 +64,38 @@ def test_held_out_beats_base(spark):
     assert gain > 0.2, gain
 
 
+def test_scores_do_not_depend_on_the_layout(spark, awkward, monkeypatch):
+    monkeypatch.setattr(language_model, "SHARD_TOKENS", 2500)
+    docs = documents(spark, [*awkward, awkward[-1], (None, "no id here")])
+
+    def scores(frame):
+        return sorted((r.doc_id is not None, r.doc_id or 0, r.n_tokens, r.score) for r in score_documents(frame).collect())
+
+    first, other = scores(docs.repartition(2, "text")), scores(docs.orderBy(F.desc("doc_id")).repartition(7))
+    assert [x[:3] for x in first] == [x[:3] for x in other]
+    np.testing.assert_allclose([x[3] for x in first], [x[3] for x in other], rtol=1e-5)
+
+
+def test_gradients_equal_finite_differences(monkeypatch):
+    rng = np.random.default_rng(6)
+    weights = {k: rng.normal(0, 0.5, shape) for k, shape in net.shapes(3, 4, 5).items()}
+    batch = next(net.windows(enumerate([rng.integers(0, 12, n) for n in (3, 20, 9, 1, 30)]), 12))
+    grads = {}
+    monkeypatch.setattr(net.Network, "_step", lambda self, found, n: grads.update(found))
+    net.Network(weights).learn(batch)
+
+    def loss(name, at, by):
+        moved = {k: v.copy() for k, v in weights.items()}
+        moved[name][at] += by
+        return -net.Network(moved).log_probs(batch).sum()
+
+    for name, values in weights.items():
+        for _ in range(6):
+            at = tuple(rng.integers(0, n) for n in values.shape)
+            slope = (loss(name, at, 1e-4) - loss(name, at, -1e-4)) / 2e-4
+            assert grads[name][at] == pytest.approx(slope, rel=2e-3, abs=2e-4), (name, at)
+
+
 def test_probabilities_add_up_to_one():
     rng = np.random.default_rng(3)
     weights = net.start_weights(np.arange(1.0, 13.0), 3, 5, 1)

@@ -7,14 +7,16 @@ which is 1 for a frequent word and follows the exact counts within a bucket.
 
 * Counts of the ``HEAD_WORDS`` most frequent words at most go along with the tasks; rarer ones meet
   theirs by a join on the word's hash, so no very frequent word is a join key.
-* Documents become rows of 16-bit symbols once, dealt out by row number so that each shard is a
-  mixture of all sources.
+* Documents become rows of 16-bit symbols once, dealt out by a hash of id and text, so that each shard is a
+  mixture of all sources. The same hash orders a shard and deals its documents to the rounds: what the net learns
+  does not depend on files, partitions or cores.
 * Training takes ``ROUNDS`` jobs over disjoint parts of the training documents, each token once. In
   each, every shard trains its own copy of the net and the copies are averaged, weighted by
   symbols, block by block. The net has the same size for every corpus.
 
 Words are told apart by 64-bit hashes. A null text is empty and a null id counts as an empty one.
-Repeated rows are scored each on their own. Without training documents the counts are zero. Other
+Repeated rows are scored each on their own, and take part in the training each; an empty table gives no rows; texts of
+any length are scored whole. Words of equal frequency are ordered by their hash. Without training documents the counts are zero. Other
 columns are not looked at.
 """
 
@@ -23,6 +25,8 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import groupby
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
@@ -38,7 +42,7 @@ FOLDS, HELD_OUT = 7, 2
 
 #: Documented widths of the net: classes, symbols per class, state, and how many symbols are buckets.
 CLASSES, MEMBERS, WIDTH, BUCKETS = 32, 64, 24, 64
-HEAD_WORDS = 65_536
+HEAD_WORDS = 262_144
 ROUNDS = 3
 #: Tokens of a shard, and the number of shards from which on each takes more.
 SHARD_TOKENS, MAX_SHARDS = 2_000_000, 20_000
@@ -140,7 +144,7 @@ def encode_rows(counts: Counts):
         lists = pa.ListArray.from_arrays(pa.array(np.searchsorted(row[new], np.arange(len(n) + 1)).astype(np.int32)), items)
         blob = pa.array([symbols[a:b].tobytes() for a, b in zip(bounds[:-1], bounds[1:], strict=True)], pa.binary())
         arrays = [pa.array(n), pa.array(sums(known.astype(np.int64), bounds)), pa.array(sums(logs, bounds)), pa.array(sums(shares, bounds))]
-        names = ["doc_id", "row", "held_out"]
+        names = ["doc_id", "row", "draw", "held_out"]
         return pa.RecordBatch.from_arrays(
             [*(piece.column(c) for c in names), *arrays, lists, blob],
             names=[*names, "n_tokens", "n_known", "logs", "shares", "rare", "symbols"],
@@ -154,17 +158,17 @@ def encode_rows(counts: Counts):
     return work
 
 
-def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
+def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray]]:
     for batch in batches:
-        for blob in batch.column("symbols"):
-            yield np.frombuffer(blob.as_buffer(), dtype=np.int16).astype(np.int32)
+        for shard, blob in zip(batch.column("shard").to_pylist(), batch.column("symbols"), strict=True):
+            yield shard, np.frombuffer(blob.as_buffer(), dtype=np.int16).astype(np.int32)
 
 
 def train_rows(flat: np.ndarray):
-    """Train a copy of the net on the rows of a task and give it out in weighted blocks."""
+    """Train a copy of the net on each shard of a task and give it out in weighted blocks."""
 
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        weights, n = net.train(net.unpack(flat, CLASSES, MEMBERS, WIDTH), _texts(batches))
+    def blocks_of(texts: Iterator[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        weights, n = net.train(net.unpack(flat, CLASSES, MEMBERS, WIDTH), texts)
         if not n:
             return
         packed = net.pack(weights)
@@ -175,6 +179,10 @@ def train_rows(flat: np.ndarray):
             names=["block", "n", "part"],
         )
 
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, rows in groupby(_rows(batches), key=itemgetter(0)):
+            yield from blocks_of(text for _, text in rows)
+
     return work
 
 
@@ -192,9 +200,9 @@ def average_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def fit(encoded: DataFrame, masses: np.ndarray) -> np.ndarray:
     """Weights of the net after one pass over all training rows, as one flat array."""
     flat = net.pack(net.start_weights(masses, CLASSES, WIDTH, SEED))
-    lessons = encoded.where(~F.col("held_out")).select("row", "symbols")
+    lessons = encoded.where(~F.col("held_out")).select("draw", "shard", "symbols")
     for turn in range(ROUNDS):
-        mine = lessons.where(F.pmod(F.xxhash64("row"), F.lit(ROUNDS)) == turn).select("symbols")
+        mine = lessons.where(F.pmod(F.xxhash64("draw"), F.lit(ROUNDS)) == turn).select("shard", "symbols")
         parts = mine.mapInArrow(train_rows(flat), "block long, n long, part binary")
         means = parts.repartition("block").sortWithinPartitions("block", "n", "part").mapInArrow(average_rows, "block long, part binary")
         blocks = sorted(means.collect())
@@ -231,13 +239,17 @@ def score_documents(docs: DataFrame) -> DataFrame:
     table = store(found.groupBy("hash").agg(F.sum("n").alias("n")), f"{folder}/counts")
     counts = gather(table)
 
-    numbered = docs.withColumn("row", F.monotonically_increasing_id())
-    kinds = [numbered.schema[c] for c in ("doc_id", "row", "held_out")]
+    draw = F.xxhash64(F.col("doc_id").cast("string"), "text")
+    numbered = docs.withColumn("row", F.monotonically_increasing_id()).withColumn("draw", draw)
+    kinds = [numbered.schema[c] for c in ("doc_id", "row", "draw", "held_out")]
     rare = "rare array<struct<hash: long, times: int>>, symbols binary"
     fields = StructType.fromDDL(f"n_tokens long, n_known long, logs double, shares double, {rare}")
     schema = StructType([*kinds, *fields.fields])
     shards = min(max(1, -(-counts.total // SHARD_TOKENS)), MAX_SHARDS)
-    encoded = store(numbered.mapInArrow(encode_rows(counts), schema).repartition(shards, "row"), f"{folder}/symbols")
+    # the rows of a shard lie in one file, which is read by one task as long as it fits a split
+    dealt = numbered.mapInArrow(encode_rows(counts), schema).withColumn("shard", F.pmod(F.hash("draw"), F.lit(shards)))
+    dealt = dealt.repartition(shards, "draw").sortWithinPartitions("shard", "draw", "n_tokens")
+    encoded = store(dealt, f"{folder}/symbols")
 
     words = encoded.select("row", F.explode("rare").alias("r")).select("row", "r.hash", "r.times")
     seen = words.join(table.where(F.col("n") < F.lit(counts.least)), "hash", "left")
@@ -248,7 +260,7 @@ def score_documents(docs: DataFrame) -> DataFrame:
     )
 
     flat = fit(encoded, counts.masses)
-    plain = encoded.drop("rare")
+    plain = encoded.drop("rare", "draw", "shard")
     scored = plain.mapInArrow(
         score_rows(flat), StructType([*(f for f in plain.schema if f.name != "symbols"), StructField("model_log", DoubleType())])
     )
