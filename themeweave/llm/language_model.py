@@ -246,9 +246,9 @@ def score_documents(docs: DataFrame) -> DataFrame:
     fields = StructType.fromDDL(f"n_tokens long, n_known long, logs double, shares double, {rare}")
     schema = StructType([*kinds, *fields.fields])
     shards = min(max(1, -(-counts.total // SHARD_TOKENS)), MAX_SHARDS)
-    # the rows of a shard lie in one file, which is read by one task as long as it fits a split
+    # the rows of a shard lie in one file, however many there are, and it is read by one task as long as it fits a split
     dealt = numbered.mapInArrow(encode_rows(counts), schema).withColumn("shard", F.pmod(F.hash("draw"), F.lit(shards)))
-    dealt = dealt.repartition(shards, "draw").sortWithinPartitions("shard", "draw", "n_tokens")
+    dealt = dealt.repartition(shards, "shard").sortWithinPartitions("shard", "draw", "n_tokens")
     encoded = store(dealt, f"{folder}/symbols")
 
     words = encoded.select("row", F.explode("rare").alias("r")).select("row", "r.hash", "r.times")
