@@ -15,7 +15,8 @@ and the kind in place of entities.
 
 Words are counted with partial sums, so a very frequent word or entity costs a row per task. Only
 entities seen in ``MIN_SEEN`` texts are paired with words. Of the texts, only those that hold an entity
-are shuffled, to meet their terms, with salt for texts that many rows share; tables of terms are never broadcast.
+are shuffled, to meet their terms, with salt for texts that many rows share; a table of terms is broadcast only
+below the size that Spark itself allows (10 MB by default).
 
 Defined results: a null or empty text has no spans; an empty table gives no rows; texts of any
 length are read whole; a word that qualifies as term and as hint is a term, and spans with the same start are told apart
