@@ -82,3 +82,15 @@ def test_tree_equals_plain_comparison(percent):
         pivot, members = sets[0], list(enumerate(sets[1:]))
         plain = [i for i, s in members if 100 * len(np.intersect1d(pivot, s)) >= percent * len(np.union1d(pivot, s))]
         assert sorted(ngram_join.links_of_pivot(pivot, members, percent)) == plain
+
+
+def test_parity_maps_never_refuse_a_link():
+    rng = np.random.default_rng(5)
+    for _ in range(300):
+        whole = rng.integers(0, 1 << 63, rng.integers(1, 700)).astype(np.uint64)
+        a, b = (np.unique(whole[rng.random(len(whole)) < share]) for share in (0.97, rng.random()))
+        unlike = len(np.setxor1d(a, b))
+        assert ngram_join.map_distance(ngram_join.parity_map(a), ngram_join.parity_map(b)) <= unlike
+        needed = 100 * len(np.intersect1d(a, b)) >= 90 * max(1, len(np.union1d(a, b)))
+        near = ngram_join.near_by_maps((len(a), ngram_join.parity_map(a)), [(7, len(b), ngram_join.parity_map(b))], 90)
+        assert near == [7] or not needed

@@ -24,7 +24,7 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[0x41:0x5B] += 0x20
 
 #: Bytes of text worked on at a time.
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 1 << 20
 
 _powers: dict[int, np.ndarray] = {}
 

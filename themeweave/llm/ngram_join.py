@@ -7,10 +7,13 @@ their hash bucket occurs, then by hash, the rare first.
 1. Two sets that link share a shingle among the first ``n - ceil(t * n) + 1`` of each. Sets that
    share such a shingle and have fitting sizes meet at a pivot, the smallest of them, so a
    large group of near copies makes at most two pairs per member, not all pairs.
-2. The members of a pivot, in blocks of ``BLOCK``, are stored in a prefix tree. The
+2. Each set has a parity map, a bit or two per shingle. Two maps differ in at most as many bits as the
+   sets differ in shingles, so pairs whose maps differ in more can't link; only the sets of the others
+   are made and moved.
+3. The members of a pivot, in blocks of ``BLOCK``, are stored in a prefix tree. The
    pivot runs down the tree: what it shares with a stretch of tree is counted once for all sets
    below, and a subtree is left as soon as the shingles that remain can't make up the rest.
-3. Pairs whose ends the links of the pivots already connect need no look. All other
+4. Pairs whose ends the links of the pivots already connect need no look. All other
    pairs that share a shingle of step 1 and pass the size and place bounds are compared
    the same way, so no link between different groups is lost.
 
@@ -40,8 +43,11 @@ BUCKET_BITS = 16
 LEVEL_BITS = 6
 #: Members of a pivot compared in one block.
 BLOCK = 64
+#: Fewest bits of a parity map.
+MAP_BITS = 64
 
-CLASSES = "doc long, node long, n int"
+CLASSES = "doc long, node long, n int, content binary"
+CONTENT = "node long, n int, content binary"
 PREFIXES = "token long, node long, n int, place int"
 PAIRS = "a long, b long"
 
@@ -69,13 +75,31 @@ def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from hashing.slices(batch)
 
 
+def parity_map(hashes: np.ndarray) -> bytes:
+    """A bit per place, set where an odd number of shingles fall; at least as many places as shingles."""
+    places = max(MAP_BITS, 1 << max(0, len(hashes) - 1).bit_length())
+    at = (hashes & np.uint64(places - 1)).astype(np.int64)
+    return np.packbits((np.bincount(at, minlength=places) & 1).astype(np.uint8), bitorder="little").tobytes()
+
+
+def map_distance(a: bytes, b: bytes) -> int:
+    """Places in which two parity maps differ, the longer one folded to the other's length."""
+    x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
+    while len(x) > len(y):
+        x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+    while len(y) > len(x):
+        y = y[: len(y) // 2] ^ y[len(y) // 2 :]
+    return int(np.bitwise_count(x ^ y).sum())
+
+
 def _class_rows(size: int):
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in _pieces(batches):
             sets = list(shingle_hashes(piece, size))
             nodes = pa.array([node_of(s) for s in sets], pa.int64())
             counts = pa.array([len(s) for s in sets], pa.int32())
-            yield pa.RecordBatch.from_arrays([piece.column("doc"), nodes, counts], names=["doc", "node", "n"])
+            maps = pa.array([parity_map(s) for s in sets], pa.binary())
+            yield pa.RecordBatch.from_arrays([piece.column("doc"), nodes, counts, maps], names=["doc", "node", "n", "content"])
 
     return work
 
@@ -120,8 +144,9 @@ def overlap_needed(n: int | np.ndarray, m: int | np.ndarray, percent: int) -> in
 
 def _prefix_rows(size: int, percent: int, levels: np.ndarray):
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = set()
         for piece in _pieces(batches):
-            tokens, nodes, counts, places, seen = [], [], [], [], set()
+            tokens, nodes, counts, places = [], [], [], []
             for hashes in shingle_hashes(piece, size):
                 node = node_of(hashes)
                 if not len(hashes) or node in seen:
@@ -200,8 +225,9 @@ def _set_rows(size: int, levels: np.ndarray):
         for piece in _pieces(batches):
             sets = list(shingle_hashes(piece, size))
             nodes = pa.array([node_of(s) for s in sets], pa.int64())
+            counts = pa.array([len(s) for s in sets], pa.int32())
             content = pa.array([ordered(s, levels).tobytes() for s in sets], pa.binary())
-            yield pa.RecordBatch.from_arrays([nodes, content], names=["node", "tokens"])
+            yield pa.RecordBatch.from_arrays([nodes, counts, content], names=["node", "n", "content"])
 
     return work
 
@@ -238,35 +264,50 @@ def links_of_pivot(pivot: np.ndarray, members: list[tuple[int, np.ndarray]], per
     return linked
 
 
-def _link_rows(percent: int):
-    """Of blocks sorted by ``a, block, b``, the pivot's own row first: the pairs that link."""
+def links_by_sets(pivot: tuple[int, bytes], members: list[tuple[int, int, bytes]], percent: int) -> list[int]:
+    """Members whose sets link with the pivot's; content is the ordered shingles."""
+    sets = [(node, np.frombuffer(content, np.uint64)) for node, _, content in members]
+    return links_of_pivot(np.frombuffer(pivot[1], np.uint64), sets, percent)
+
+
+def near_by_maps(pivot: tuple[int, bytes], members: list[tuple[int, int, bytes]], percent: int) -> list[int]:
+    """Members that may link with the pivot as far as parity maps tell."""
+    n, mine = pivot
+    return [
+        node for node, m, content in members
+        if map_distance(mine, content) <= n + m - 2 * overlap_needed(n, m, percent)
+    ]
+
+
+def _compared_rows(percent: int, compare):
+    """Of blocks sorted by ``a, block, b``, the pivot's own row first: the pairs that ``compare`` keeps."""
 
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int]]:
         key, pivot, members = None, None, []
-        for a, block, own, b, tokens in _rows(batches, ("a", "block", "own", "b", "tokens")):
+        for a, block, own, b, n, content in _rows(batches, ("a", "block", "own", "b", "n", "content")):
             if (a, block) != key:
                 if members:
-                    yield from ((key[0], m) for m in links_of_pivot(pivot, members, percent))
+                    yield from ((key[0], m) for m in compare(pivot, members, percent))
                 key, pivot, members = (a, block), None, []
             if own:
-                pivot = np.frombuffer(tokens, np.uint64)
+                pivot = (n, content)
             else:
-                members.append((b, np.frombuffer(tokens, np.uint64)))
+                members.append((b, n, content))
         if members:
-            yield from ((key[0], m) for m in links_of_pivot(pivot, members, percent))
+            yield from ((key[0], m) for m in compare(pivot, members, percent))
 
     return lambda batches: _pair_batches(pairs(batches))
 
 
-def linked_pairs(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs ``<a, b>`` whose sets link; ``sets`` is ``<node, tokens>``."""
+def kept_pairs(pairs: DataFrame, contents: DataFrame, percent: int, compare) -> DataFrame:
+    """The pairs ``<a, b>`` that ``compare`` keeps; ``contents`` is ``<node, n, content>``, a row per node."""
     sizes = pairs.groupBy("a").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
     blocks = lookup_join(pairs, sizes, "a", F.col("b")).withColumn("block", F.pmod(F.xxhash64("b"), F.col("blocks")).cast("int"))
     members = blocks.select("a", "block", F.lit(False).alias("own"), "b")
     pivots = members.select("a", "block").distinct().select("a", "block", F.lit(True).alias("own"), F.col("a").alias("b"))
-    rows = members.unionByName(pivots).join(sets.withColumnRenamed("node", "b"), "b")
+    rows = members.unionByName(pivots).join(contents.withColumnRenamed("node", "b"), "b")
     order = ("a", "block", F.desc("own"), "b")
-    return rows.repartition("a", "block").sortWithinPartitions(*order).mapInArrow(_link_rows(percent), PAIRS)
+    return rows.repartition("a", "block").sortWithinPartitions(*order).mapInArrow(_compared_rows(percent, compare), PAIRS)
 
 
 def components(links: DataFrame, folder: str) -> DataFrame:
@@ -299,30 +340,38 @@ def ngram_components(docs: DataFrame, size: int = SHINGLE, percent: int = PERCEN
     classes = store(texts.mapInArrow(_class_rows(size), CLASSES), f"{folder}/classes")
     levels = frequency_levels(texts, size)
 
+    # a row per set, with the document that stands for it
+    of_set = classes.where("doc IS NOT NULL AND n > 0").groupBy("node")
+    one_each = of_set.agg(F.min("doc").alias("doc"), F.min("n").alias("n"), F.first("content").alias("content"))
+    maps = store(one_each, f"{folder}/maps")
+
+    def linked_pairs(pairs: DataFrame, name: str) -> DataFrame:
+        """The pairs whose sets link; sets are made for those that the parity maps leave."""
+        near = store(kept_pairs(pairs, maps.drop("doc"), percent, near_by_maps), f"{folder}/{name}-near")
+        nodes = near.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+        wanted = store(nodes.join(maps.select("node", "doc"), "node").select("doc").distinct(), f"{folder}/{name}-wanted")
+        made = known.join(wanted, "doc").mapInArrow(_set_rows(size, levels), CONTENT).dropDuplicates(["node"])
+        return kept_pairs(near, store(made, f"{folder}/{name}-sets"), percent, links_by_sets)
+
     order = ("token", "n", "node")
-    rows = known.mapInArrow(_prefix_rows(size, percent, levels), PREFIXES)
-    # a row per set and shingle: copies of a set agree in every column
-    prefixes = store(rows.groupBy("token", "node").agg(F.min("n").alias("n"), F.min("place").alias("place")), f"{folder}/prefixes")
-    by_token = prefixes.repartition("token").sortWithinPartitions(*order)
+    rows = known.mapInArrow(_prefix_rows(size, percent, levels), PREFIXES).repartition("token")
+    # a row per set and shingle, made where the shingle's rows lie: copies of a set agree in every column
+    prefixes = rows.groupBy("token", "node").agg(F.min("n").alias("n"), F.min("place").alias("place"))
+    # sizes that fit are neighbours in the order of sizes, so every set of any pair is at a
+    # token that two sets of fitting sizes share; the other rows go no further
+    shared = prefixes.select("token", "node", "n", "place").sortWithinPartitions(*order).mapInArrow(_shared_rows(percent), PREFIXES)
+    shared = store(shared, f"{folder}/shared")
     # two pivots per set, whatever the number of its tokens; what they leave apart is compared below
+    by_token = shared.repartition("token").sortWithinPartitions(*order)
     pivots = by_token.mapInArrow(_pivot_pairs(percent), PAIRS).groupBy("b").agg(F.min("a").alias("low"), F.max("a").alias("high"))
     stars = store(pivots.select(F.explode(F.array_distinct(F.array("low", "high"))).alias("a"), "b"), f"{folder}/stars")
 
-    # sizes that fit are neighbours in the order of sizes, so every set of any pair is at a
-    # token that two sets of fitting sizes share
-    shared = by_token.mapInArrow(_shared_rows(percent), PREFIXES)
-    shared = store(shared, f"{folder}/shared")
-    first = classes.where("doc IS NOT NULL AND n > 0").groupBy("node").agg(F.min("doc").alias("doc"))
-    wanted = shared.select("node").distinct().join(first, "node").select("doc", "node")
-    chosen = known.join(wanted.select("doc").distinct(), "doc").mapInArrow(_set_rows(size, levels), "node long, tokens binary")
-    sets = store(chosen.dropDuplicates(["node"]), f"{folder}/sets")
-
-    links = store(linked_pairs(stars, sets, percent), f"{folder}/star-links")
+    links = store(linked_pairs(stars, "stars"), f"{folder}/star-links")
     labels = components(links, f"{folder}/stars-joined")
     grouped = shared.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     rest = grouped.repartition("token").sortWithinPartitions(*order).mapInArrow(_group_pairs(percent), PAIRS).distinct()
     rest = store(rest.join(stars, ["a", "b"], "left_anti"), f"{folder}/rest")
-    more = linked_pairs(rest, sets, percent)
+    more = linked_pairs(rest, "rest")
     # rows with one id are one document, whatever their sets
     one = Window.partitionBy("doc")
     ties = classes.where("doc IS NOT NULL AND n > 0").select("node", F.min("node").over(one).alias("a"))
