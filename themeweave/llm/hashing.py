@@ -24,7 +24,7 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[0x41:0x5B] += 0x20
 
 #: Bytes of text worked on at a time.
-BLOCK_BYTES = 1 << 20
+BLOCK_BYTES = 8 << 20
 
 _powers: dict[int, np.ndarray] = {}
 
@@ -97,13 +97,15 @@ class Texts:
         return mix(stretch(running(LOWER[self.bytes] if lower else self.bytes), starts, ends)), bounds
 
 
-def slices(table: pa.Table | pa.RecordBatch, text: str = "text") -> Iterator[pa.RecordBatch]:
-    """Consecutive slices of about ``BLOCK_BYTES`` of text, one row at least."""
+def slices(
+    table: pa.Table | pa.RecordBatch, text: str = "text", size: int = BLOCK_BYTES
+) -> Iterator[pa.RecordBatch]:
+    """Consecutive slices of about ``size`` bytes of text, one row at least."""
     sizes = pa.compute.binary_length(table.column(text)).fill_null(0).to_numpy(zero_copy_only=False)
     total, start = np.cumsum(sizes, dtype=np.int64), 0
     while start < len(sizes):
         before = total[start - 1] if start else 0
-        end = max(start + 1, int(np.searchsorted(total, before + BLOCK_BYTES, side="right")))
+        end = max(start + 1, int(np.searchsorted(total, before + size, side="right")))
         yield table.slice(start, end - start)
         start = end
 

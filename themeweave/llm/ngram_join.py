@@ -43,6 +43,8 @@ BUCKET_BITS = 16
 LEVEL_BITS = 6
 #: Members of a pivot compared in one block.
 BLOCK = 64
+#: Bytes of text worked on at a time; running sums and powers take about a hundred times as much.
+PIECE_BYTES = 1 << 20
 #: Fewest bits of a parity map.
 MAP_BITS = 64
 
@@ -72,7 +74,7 @@ def node_of(hashes: np.ndarray) -> int:
 
 def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        yield from hashing.slices(batch)
+        yield from hashing.slices(batch, size=PIECE_BYTES)
 
 
 def parity_map(hashes: np.ndarray) -> bytes:
