@@ -4,10 +4,12 @@ import math
 from collections import Counter
 
 import models
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from themeweave.functions.text import TextOptions
+from themeweave.operators import dictionary
 from themeweave.operators.ordering import batches, with_row_index
 from themeweave.operators import vocabulary as vocabulary_module
 from themeweave.operators.terms import analyze, counted_terms, term_counts
@@ -165,3 +167,17 @@ def test_vocabulary_size_is_checked(corpus):
         TfidfVectorizer.from_table(vocabulary, 2)
     with pytest.raises(ValueError, match="no terms"):
         TfidfVectorizer.from_table(vocabulary.filter("df > 100"), 2)
+
+
+def test_terms_are_looked_up_in_pieces_of_whole_documents(spark, monkeypatch):
+    """What a worker holds at a time follows from the number of terms, not from the rows of a batch."""
+    monkeypatch.setattr(dictionary, "PIECE_TERMS", 4)
+    lists = [["a", "x", "a"], None, [], ["b"], ["x"] * 9 + ["b"], ["a", "b"], []]
+    page = pa.table({"term": ["a", "b"]})
+    pieces = [*dictionary.occurrences(pa.array(lists, pa.list_(pa.string())), page)]
+    assert [(p.first, p.n_docs) for p in pieces] == [(0, 4), (4, 1), (5, 2)]
+    found = [(int(p.first + d), int(r)) for p in pieces for d, r in zip(p.doc, p.row)]
+    assert found == [(0, 0), (0, 0), (3, 1), (4, 1), (5, 0), (5, 1)]
+    assert not [*dictionary.occurrences(pa.array([], pa.list_(pa.string())), page)]
+    unknown = [*dictionary.occurrences(pa.array([["x"], None], pa.list_(pa.string())), page)]
+    assert [(p.n_docs, len(p.row)) for p in unknown] == [(2, 0)]
