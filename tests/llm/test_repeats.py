@@ -151,3 +151,21 @@ def test_marking_does_not_depend_on_batches(spark):
 
     for most in (3, 1000):
         assert marked(n, most) == marked(1, most) == marked(7, most)
+
+
+def test_texts_are_hashed_in_small_pieces():
+    """A batch of many texts is not hashed as a whole: its working memory is some dozens of bytes per byte."""
+    seen = []
+
+    def symbols(texts):
+        seen.append(len(texts.bytes))
+        return texts.bytes, texts.bounds
+
+    texts = [random.Random(k).randbytes(50_000).hex() for k in range(40)]
+    ids = pa.array(range(40), pa.int64())
+    batch = pa.RecordBatch.from_arrays([ids, ids, pa.array(texts)], names=["doc", "sub", "text"])
+    found = pa.Table.from_batches(seeds.anchor_rows(symbols, 100, 32)(iter([batch])))
+    assert sum(seen) == 4_000_000 and max(seen) <= 1 << 20
+    whole = seeds.fragments(*symbols(hashing.Texts(batch.column("text"))), 100, 32)
+    assert found["key"].to_pylist() == whole["key"].tolist()
+    assert found["doc"].to_pylist() == whole["row"].tolist() and found["start"].to_pylist() == whole["start"].tolist()

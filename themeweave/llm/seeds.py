@@ -33,6 +33,8 @@ MAX_VARIANTS = 1000
 WHOLE, COMPARE, WINDOWED = 0, 1, 2
 #: Rows out of a task at a time.
 OUT_ROWS = 200_000
+#: Bytes of text worked on at a time: hashing a byte takes some dozens of bytes of working memory.
+PIECE_BYTES = 1 << 20
 
 ANCHORS = "key long, frag long, doc long, sub long, start int, n int"
 MARKED = "key long, doc long, sub long, start int, n int, state int"
@@ -107,7 +109,7 @@ def anchor_rows(symbols: Symbols, width: int, gram: int):
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for piece in hashing.slices(batch):
+            for piece in hashing.slices(batch, size=PIECE_BYTES):
                 found = fragments(*symbols(hashing.Texts(piece.column("text"))), width, gram)
                 row = found.pop("row")
                 found |= {"doc": _longs(piece, "doc")[row], "sub": _longs(piece, "sub")[row]}
@@ -278,7 +280,7 @@ def piece_rows(symbols: Symbols, width: int, contents):
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for piece in hashing.slices(batch):
+            for piece in hashing.slices(batch, size=PIECE_BYTES):
                 yield from rows_of(piece)
 
     return work

@@ -124,7 +124,7 @@ def byte_contents(texts: hashing.Texts, begin: np.ndarray, end: np.ndarray) -> l
 def _kept_rows(width: int):
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for piece in hashing.slices(batch):
+            for piece in hashing.slices(batch, size=seeds.PIECE_BYTES):
                 rows = []
                 runs = piece.column("runs")
                 texts = piece.column("text").cast(pa.binary()).to_pylist()
