@@ -11,7 +11,7 @@ from themeweave.llm.mixing import mix_sources
 from themeweave.llm.ngram_join import ngram_components
 from themeweave.llm.quality import keep_good
 from themeweave.llm.queries import table
-from themeweave.llm.secret_scan import redact, scan_secrets
+from themeweave.llm.secret_scan import redact_secrets
 from themeweave.runtime import new_run_folder, store
 
 
@@ -33,12 +33,12 @@ def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 def secret_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, each secret replaced by its kind in brackets."""
-    scanned = scan_secrets(docs)
-    has = F.size("secrets") > 0
-    text = F.when(has, redact(F.col("text"), F.col("secrets"))).otherwise(F.col("text"))
-    out = scanned.withColumn("_redacted", has).withColumn("text", text)
-    n_chars = F.when(F.col("_redacted"), F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
-    return out.withColumn("n_chars", n_chars).select(*docs.columns)
+    clean = F.col("_redacted")
+    length = F.length(clean).cast(docs.schema["n_chars"].dataType)
+    out = redact_secrets(docs, "_redacted").withColumns(
+        {"text": F.coalesce(clean, F.col("text")), "n_chars": F.when(clean.isNotNull(), length).otherwise(F.col("n_chars"))}
+    )
+    return out.select(*docs.columns)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -48,3 +48,12 @@ def test_planted_documents(spark, tmp_path):
             assert all(kept[d][0] == texts[d] for d in kept if d != 104)
     taken = sorted((r.doc_id, r.taken) for r in docs.collect())
     assert taken == sorted((r.doc_id, r.taken) for r in corpus_pipeline.run(spark, str(tmp_path)).collect())
+
+
+def test_secrets_take_one_python_worker_per_task(spark):
+    rows = [(1, "a password=abcdefghijklmnop b", "en", "a", 29), (2, "nothing here", "en", "a", 12), (3, None, "en", "a", None)]
+    out = corpus_pipeline.secret_stage(spark, spark.createDataFrame(rows, SCHEMA), "")
+    assert out._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 1
+    assert sorted(out.select("doc_id", "text", "n_chars").collect()) == [
+        (1, "a [assign] b", 12), (2, "nothing here", 12), (3, None, None),
+    ]

@@ -157,6 +157,22 @@ def _redacted(texts: pd.Series, spans: pd.Series) -> pd.Series:
     return pd.Series(out, dtype=object)
 
 
+def _text_if_redacted(texts: pd.Series) -> pd.Series:
+    spans = _secret_spans(texts)
+    has = spans.map(len) > 0
+    out = pd.Series([None] * len(texts), index=texts.index, dtype=object)
+    out[has] = _redacted(texts[has], spans[has.to_numpy()]).to_numpy()
+    return out
+
+
+def redact_secrets(docs: DataFrame, name: str) -> DataFrame:
+    """Add column ``name``: the text with each secret replaced by its kind in brackets, null if there is none.
+
+    Scan and replacement share one Python worker per task, and only changed texts come back.
+    """
+    return docs.withColumn(name, F.pandas_udf(_text_if_redacted, "string")(text_of()))
+
+
 def scan_secrets(docs: DataFrame) -> DataFrame:
     """Add ``secrets: array<struct<kind, start, end>>``, by start, then kind."""
     return without(docs, "secrets").withColumn("secrets", F.pandas_udf(_secret_spans, SPANS)(text_of()))
