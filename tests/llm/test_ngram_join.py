@@ -5,6 +5,7 @@ from __future__ import annotations
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from .corpus_rows import documents
 
@@ -94,3 +95,28 @@ def test_parity_maps_never_refuse_a_link():
         needed = 100 * len(np.intersect1d(a, b)) >= 90 * max(1, len(np.union1d(a, b)))
         near = ngram_join.near_by_maps((len(a), ngram_join.parity_map(a)), [(7, len(b), ngram_join.parity_map(b))], 90)
         assert near == [7] or not needed
+
+
+@pytest.mark.parametrize("rows_a_batch", [7, 1000])
+def test_unlike_sets_of_one_shingle_make_no_rows(rows_a_batch):
+    rng = np.random.default_rng(6)
+    rows, linked = [], set()
+    for token in (-3, 5, 9):
+        base = np.unique(rng.integers(0, 1 << 63, 420).astype(np.uint64))
+        sets = [np.unique(rng.integers(0, 1 << 63, rng.integers(380, 420)).astype(np.uint64)) for _ in range(150)]
+        sets += [base[4:], base[:-3], base[:-1], base[:8]]
+        for k, s in enumerate(sets):
+            node = token * 1000 + k
+            # the last but one is of the first one's group, so they need no look
+            rows.append((token, token * 1000 + min(k, 150) if k == 152 else node, node, len(s), 0, ngram_join.parity_map(s)))
+        first, second, third = (token * 1000 + k for k in (150, 151, 152))
+        linked |= {(first, second), (second, third)}
+    rows.sort(key=lambda r: r[:3])
+    names = ["token", "label", "node", "n", "place", "content"]
+    kinds = [pa.int64()] * 3 + [pa.int32()] * 2 + [pa.binary()]
+    arrays = [pa.array(c, kind) for c, kind in zip(zip(*rows, strict=True), kinds, strict=True)]
+    table = pa.Table.from_arrays(arrays, names=names)
+    halves = list(ngram_join._half_maps(iter(table.select(["node", "content"]).to_batches())))
+    table = table.set_column(5, "content", pa.Table.from_batches(halves).column("content"))
+    got = [p for b in ngram_join._group_pairs(90)(iter(table.to_batches(rows_a_batch))) for p in zip(*b.to_pydict().values(), strict=True)]
+    assert {tuple(sorted(p)) for p in got} == {tuple(sorted(p)) for p in linked}

@@ -14,7 +14,8 @@ their hash bucket occurs, then by hash, the rare first.
    pivot runs down the tree: what it shares with a stretch of tree is counted once for all sets
    below, and a subtree is left as soon as the shingles that remain can't make up the rest.
 4. Pairs whose ends the links of the pivots already connect need no look. All other
-   pairs that share a shingle of step 1 and pass the size and place bounds are compared
+   pairs that share a shingle of step 1 and pass the size and place bounds are compared by their parity
+   maps where the shingle lies, and become rows only if the maps leave them; those are compared
    the same way, so no link between different groups is lost.
 
 Defined results of :func:`ngram_components`: a null or empty text has an empty set and is linked
@@ -24,7 +25,6 @@ rows without an id take no part, and their group is null; extra columns are not
 
 from __future__ import annotations
 
-from collections import deque
 from collections.abc import Iterator
 from math import log2
 
@@ -47,6 +47,8 @@ BLOCK = 64
 PIECE_BYTES = 1 << 20
 #: Fewest bits of a parity map.
 MAP_BITS = 64
+#: Pairs of one token compared at a time.
+CHUNK = 1 << 17
 
 CLASSES = "doc long, node long, n int, content binary"
 CONTENT = "node long, n int, content binary"
@@ -84,14 +86,18 @@ def parity_map(hashes: np.ndarray) -> bytes:
     return np.packbits((np.bincount(at, minlength=places) & 1).astype(np.uint8), bitorder="little").tobytes()
 
 
+def folded(content: bytes, words: int) -> np.ndarray:
+    """A parity map of ``words`` 64-bit words, made of one at least as long."""
+    x = np.frombuffer(content, np.uint64)
+    while len(x) > words:
+        x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+    return x
+
+
 def map_distance(a: bytes, b: bytes) -> int:
     """Places in which two parity maps differ, the longer one folded to the other's length."""
-    x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
-    while len(x) > len(y):
-        x = x[: len(x) // 2] ^ x[len(x) // 2 :]
-    while len(y) > len(x):
-        y = y[: len(y) // 2] ^ y[len(y) // 2 :]
-    return int(np.bitwise_count(x ^ y).sum())
+    words = min(len(a), len(b)) // 8
+    return int(np.bitwise_count(folded(a, words) ^ folded(b, words)).sum())
 
 
 def _class_rows(size: int):
@@ -201,23 +207,83 @@ def _pivot_pairs(percent: int):
     return lambda batches: _pair_batches(pairs(batches))
 
 
+def _half_maps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Parity maps folded once: what goes along with every shared shingle of a set."""
+    for batch in batches:
+        halves = [folded(x, max(MAP_BITS // 64, len(x) // 16)).tobytes() for x in batch.column("content").to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(halves, pa.binary())], names=["node", "content"])
+
+
+def map_distances(maps: list[bytes], a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """:func:`map_distance` of many pairs, given by their places in ``maps``."""
+    sizes = np.array([len(x) // 8 for x in maps], dtype=np.int64)
+    width = np.minimum(sizes[a], sizes[b])
+    out = np.zeros(len(a), dtype=np.int64)
+    for words in np.unique(width):
+        mine = width == words
+        used = np.zeros(len(maps), dtype=bool)
+        used[a[mine]] = used[b[mine]] = True
+        flat = np.stack([folded(maps[i], int(words)) for i in np.flatnonzero(used)])
+        place = np.cumsum(used) - 1
+        out[mine] = np.bitwise_count(flat[place[a[mine]]] ^ flat[place[b[mine]]]).sum(axis=1)
+    return out
+
+
+def _whole_tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Rows sorted by token, all of a token's rows together."""
+    held: list[pa.RecordBatch] = []
+    last = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        token = batch.column("token").to_numpy()
+        first = int(np.searchsorted(token, token[-1]))  # the last token may go on
+        if held and (first or token[-1] != last) or first:
+            yield pa.Table.from_batches([*held, batch.slice(0, first)])
+            held = []
+        held.append(batch.slice(first))
+        last = token[-1]
+    if held:
+        yield pa.Table.from_batches(held)
+
+
 def _group_pairs(percent: int):
-    """Of rows sorted by ``token, n, node``: pairs of different groups that may link."""
+    """Of rows sorted by ``token, label, node``: pairs of different groups that may link, as far as sizes,
+    places and parity maps tell. Pairs are compared where their token lies, and only those that pass become rows.
+    """
 
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int]]:
-        token, recent = None, {}
-        for now, node, n, place, group in _rows(batches, ("token", "node", "n", "place", "label")):
-            if now != token:
-                token, recent = now, {}
-            for theirs, members in recent.items():
-                if theirs == group:
-                    continue
-                while members and 100 * members[0][1] < percent * n:
-                    members.popleft()
-                for other, m, j in members:
-                    if _may_link(m, j, n, place, percent):
-                        yield other, node
-            recent.setdefault(group, deque()).append((node, n, place))
+        for table in _whole_tokens(batches):
+            token, node, n, place, label = (table.column(x).to_numpy() for x in ("token", "node", "n", "place", "label"))
+            n, place = n.astype(np.int64), place.astype(np.int64)
+            new_token = np.append(True, token[1:] != token[:-1])
+            new_label = new_token | np.append(True, label[1:] != label[:-1])
+            tokens, labels = np.flatnonzero(new_token), np.flatnonzero(new_label)
+            end_token = np.append(tokens[1:], len(token))[np.cumsum(new_token) - 1]
+            end_label = np.append(labels[1:], len(token))[np.cumsum(new_label) - 1]
+            # each row meets the rows of its token's groups behind its own
+            behind = end_token - end_label
+            total = np.cumsum(behind)
+            if not total[-1]:
+                continue
+            maps, first = table.column("content").to_pylist(), 0
+            while first < len(token):
+                before = total[first - 1] if first else 0
+                last = max(first + 1, int(np.searchsorted(total, before + CHUNK, side="right")))
+                mine = behind[first:last]
+                a = np.repeat(np.arange(first, last), mine)
+                b = np.arange(len(a)) + np.repeat(end_label[first:last] - (total[first:last] - mine - before), mine)
+                first = last
+                fits = 100 * np.minimum(n[a], n[b]) >= percent * np.maximum(n[a], n[b])
+                a, b = a[fits], b[fits]
+                needed = overlap_needed(n[a], n[b], percent)
+                fits = np.minimum(place[a], place[b]) + np.minimum(n[a] - place[a], n[b] - place[b]) >= needed
+                a, b, needed = a[fits], b[fits], needed[fits]
+                near = map_distances(maps, a, b) <= n[a] + n[b] - 2 * needed
+                a, b = a[near], b[near]
+                # the smaller set first, as pivots have it
+                turned = (n[a] > n[b]) | ((n[a] == n[b]) & (node[a] > node[b]))
+                yield from zip(node[np.where(turned, b, a)].tolist(), node[np.where(turned, a, b)].tolist(), strict=True)
 
     return lambda batches: _pair_batches(pairs(batches))
 
@@ -370,8 +436,10 @@ def ngram_components(docs: DataFrame, size: int = SHINGLE, percent: int = PERCEN
 
     links = store(linked_pairs(stars, "stars"), f"{folder}/star-links")
     labels = components(links, f"{folder}/stars-joined")
-    grouped = shared.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    rest = grouped.repartition("token").sortWithinPartitions(*order).mapInArrow(_group_pairs(percent), PAIRS).distinct()
+    halves = maps.select("node", "content").mapInArrow(_half_maps, "node long, content binary")
+    known_by = halves.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    grouped = shared.join(known_by, "node").repartition("token").sortWithinPartitions("token", "label", "node")
+    rest = grouped.mapInArrow(_group_pairs(percent), PAIRS).distinct()
     rest = store(rest.join(stars, ["a", "b"], "left_anti"), f"{folder}/rest")
     more = linked_pairs(rest, "rest")
     # rows with one id are one document, whatever their sets
