@@ -116,7 +116,21 @@ def test_unlike_sets_of_one_shingle_make_no_rows(rows_a_batch):
     kinds = [pa.int64()] * 3 + [pa.int32()] * 2 + [pa.binary()]
     arrays = [pa.array(c, kind) for c, kind in zip(zip(*rows, strict=True), kinds, strict=True)]
     table = pa.Table.from_arrays(arrays, names=names)
-    halves = list(ngram_join._half_maps(iter(table.select(["node", "content"]).to_batches())))
-    table = table.set_column(5, "content", pa.Table.from_batches(halves).column("content"))
     got = [p for b in ngram_join._group_pairs(90)(iter(table.to_batches(rows_a_batch))) for p in zip(*b.to_pydict().values(), strict=True)]
     assert {tuple(sorted(p)) for p in got} == {tuple(sorted(p)) for p in linked}
+
+
+def test_nearest_pairs_of_a_shingle_are_no_more_than_two_a_row():
+    rng = np.random.default_rng(8)
+    base = np.unique(rng.integers(0, 1 << 63, 400).astype(np.uint64))
+    sets = [np.delete(base, rng.integers(0, 400, 3)) for _ in range(120)]
+    columns = [[5] * 120, range(120), range(120), [len(s) for s in sets], [0] * 120, [ngram_join.parity_map(s) for s in sets]]
+    kinds = [pa.int64()] * 3 + [pa.int32()] * 2 + [pa.binary()]
+    arrays = [pa.array(c, kind) for c, kind in zip(columns, kinds, strict=True)]
+    batch = pa.RecordBatch.from_arrays(arrays, names=["token", "label", "node", "n", "place", "content"])
+
+    def pairs(nearest):
+        return [p for b in ngram_join._group_pairs(90, nearest)(iter([batch])) for p in zip(*b.to_pydict().values(), strict=True)]
+
+    assert len(pairs(False)) == 120 * 119 // 2
+    assert len(pairs(True)) <= 2 * 120 and {k for p in pairs(True) for k in p} == set(range(120))

@@ -7,13 +7,14 @@ their hash bucket occurs, then by hash, the rare first.
 1. Two sets that link share a shingle among the first ``n - ceil(t * n) + 1`` of each. Sets that
    share such a shingle and have fitting sizes meet at a pivot, the smallest of them, so a
    large group of near copies makes at most two pairs per member, not all pairs.
-2. Each set has a parity map, a bit or two per shingle. Two maps differ in at most as many bits as the
+2. Each set has a parity map, two to four bits per shingle. Two maps differ in at most as many bits as the
    sets differ in shingles, so pairs whose maps differ in more can't link; only the sets of the others
    are made and moved.
 3. The members of a pivot, in blocks of ``BLOCK``, are stored in a prefix tree. The
    pivot runs down the tree: what it shares with a stretch of tree is counted once for all sets
    below, and a subtree is left as soon as the shingles that remain can't make up the rest.
-4. Pairs whose ends the links of the pivots already connect need no look. All other
+4. Pairs whose ends the links of the pivots already connect need no look. Each set first meets its
+   nearest of another group at a shingle, as far as parity maps tell; the links of these join most groups. All other
    pairs that share a shingle of step 1 and pass the size and place bounds are compared by their parity
    maps where the shingle lies, and become rows only if the maps leave them; those are compared
    the same way, so no link between different groups is lost.
@@ -80,8 +81,8 @@ def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def parity_map(hashes: np.ndarray) -> bytes:
-    """A bit per place, set where an odd number of shingles fall; at least as many places as shingles."""
-    places = max(MAP_BITS, 1 << max(0, len(hashes) - 1).bit_length())
+    """A bit per place, set where an odd number of shingles fall; at least twice as many places as shingles."""
+    places = max(MAP_BITS, 2 << max(0, len(hashes) - 1).bit_length())
     at = (hashes & np.uint64(places - 1)).astype(np.int64)
     return np.packbits((np.bincount(at, minlength=places) & 1).astype(np.uint8), bitorder="little").tobytes()
 
@@ -207,13 +208,6 @@ def _pivot_pairs(percent: int):
     return lambda batches: _pair_batches(pairs(batches))
 
 
-def _half_maps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Parity maps folded once: what goes along with every shared shingle of a set."""
-    for batch in batches:
-        halves = [folded(x, max(MAP_BITS // 64, len(x) // 16)).tobytes() for x in batch.column("content").to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(halves, pa.binary())], names=["node", "content"])
-
-
 def map_distances(maps: list[bytes], a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """:func:`map_distance` of many pairs, given by their places in ``maps``."""
     sizes = np.array([len(x) // 8 for x in maps], dtype=np.int64)
@@ -247,9 +241,16 @@ def _whole_tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
         yield pa.Table.from_batches(held)
 
 
-def _group_pairs(percent: int):
+def _first_of_least(keys: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """Of each key, the place of the first of its least values."""
+    order = np.lexsort((values, keys))
+    return order[np.append(True, keys[order][1:] != keys[order][:-1])[: len(order)]]
+
+
+def _group_pairs(percent: int, nearest: bool = False):
     """Of rows sorted by ``token, label, node``: pairs of different groups that may link, as far as sizes,
     places and parity maps tell. Pairs are compared where their token lies, and only those that pass become rows.
+    ``nearest`` gives, for each row, only the one with the closest map among those behind it, and among those before it.
     """
 
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int]]:
@@ -279,8 +280,12 @@ def _group_pairs(percent: int):
                 needed = overlap_needed(n[a], n[b], percent)
                 fits = np.minimum(place[a], place[b]) + np.minimum(n[a] - place[a], n[b] - place[b]) >= needed
                 a, b, needed = a[fits], b[fits], needed[fits]
-                near = map_distances(maps, a, b) <= n[a] + n[b] - 2 * needed
-                a, b = a[near], b[near]
+                unlike = map_distances(maps, a, b)
+                near = unlike <= n[a] + n[b] - 2 * needed
+                a, b, unlike = a[near], b[near], unlike[near]
+                if nearest:
+                    best = np.union1d(_first_of_least(a, unlike), _first_of_least(b, unlike))
+                    a, b = a[best], b[best]
                 # the smaller set first, as pivots have it
                 turned = (n[a] > n[b]) | ((n[a] == n[b]) & (node[a] > node[b]))
                 yield from zip(node[np.where(turned, b, a)].tolist(), node[np.where(turned, a, b)].tolist(), strict=True)
@@ -436,17 +441,25 @@ def ngram_components(docs: DataFrame, size: int = SHINGLE, percent: int = PERCEN
 
     links = store(linked_pairs(stars, "stars"), f"{folder}/star-links")
     labels = components(links, f"{folder}/stars-joined")
-    halves = maps.select("node", "content").mapInArrow(_half_maps, "node long, content binary")
-    known_by = halves.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    grouped = shared.join(known_by, "node").repartition("token").sortWithinPartitions("token", "label", "node")
-    rest = grouped.mapInArrow(_group_pairs(percent), PAIRS).distinct()
-    rest = store(rest.join(stars, ["a", "b"], "left_anti"), f"{folder}/rest")
-    more = linked_pairs(rest, "rest")
+
+    def between_groups(labels: DataFrame, nearest: bool) -> DataFrame:
+        known_by = maps.select("node", "content").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+        grouped = shared.join(known_by, "node").repartition("token").sortWithinPartitions("token", "label", "node")
+        return grouped.mapInArrow(_group_pairs(percent, nearest), PAIRS).distinct()
+
+    # first a pair or two per row, which join most groups that belong together; then all pairs of those still apart
+    bridges = store(between_groups(labels, True).join(stars, ["a", "b"], "left_anti"), f"{folder}/bridges")
+    if not bridges.isEmpty():
+        links = store(links.unionByName(linked_pairs(bridges, "bridges")), f"{folder}/bridge-links")
+        labels = components(links, f"{folder}/bridges-joined")
+        seen = stars.unionByName(bridges)
+        rest = store(between_groups(labels, False).join(seen, ["a", "b"], "left_anti"), f"{folder}/rest")
+        links = links.unionByName(linked_pairs(rest, "rest"))
     # rows with one id are one document, whatever their sets
     one = Window.partitionBy("doc")
     ties = classes.where("doc IS NOT NULL AND n > 0").select("node", F.min("node").over(one).alias("a"))
     ties = ties.where("node != a").select("a", F.col("node").alias("b"))
-    links = store(links.unionByName(more).unionByName(ties), f"{folder}/links")
+    links = store(links.unionByName(ties), f"{folder}/links")
     labels = components(links, f"{folder}/joined")
 
     full = classes.where("n > 0").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
