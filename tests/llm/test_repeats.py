@@ -169,3 +169,40 @@ def test_texts_are_hashed_in_small_pieces():
     whole = seeds.fragments(*symbols(hashing.Texts(batch.column("text"))), 100, 32)
     assert found["key"].to_pylist() == whole["key"].tolist()
     assert found["doc"].to_pylist() == whole["row"].tolist() and found["start"].to_pylist() == whole["start"].tolist()
+
+
+def test_fragments_that_share_no_window_are_not_put_in_order():
+    rng = random.Random(11)
+    letters = "".join(rng.choice("abcdefgh ") for _ in range(900))
+    shared, phrase = letters[:130], letters[200:275]
+    texts = [letters[300 + 60 * k : 340 + 60 * k] + phrase + letters[340 + 60 * k : 360 + 60 * k] * 2 for k in range(8)]
+    texts += [f"{k}" * 40 + shared + f"{k}" * 40 for k in range(3)]
+    whole = hashing.Texts(pa.array(texts))
+    found = seeds.fragments(whole.bytes, whole.bounds, 100, 32)
+    begin = whole.bounds[found["row"]] + found["start"]
+    contents = suffix_array.byte_contents(whole, begin, begin + found["n"] + 99)
+    keep = seeds.around_anchor(100, 32)(found["key"], contents)
+    windows = [{c[k : k + 100] for k in range(len(c) - 99)} for c in contents]
+    for i, mine in enumerate(windows):
+        others = set().union(*(w for k, w in enumerate(windows) if k != i))
+        assert keep[i] or not mine & others
+    _, same, many = np.unique(found["key"], return_inverse=True, return_counts=True)
+    assert keep.any() and keep.sum() < (many[same] > 1).sum()
+    assert not keep[found["row"] < 8].any()
+
+
+def test_blocks_of_whole_anchors_are_small():
+    sizes, rng = [], np.random.default_rng(12)
+
+    def compare(contents):
+        sizes.append(sum(map(len, contents)))
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    key = np.repeat(np.arange(900), 2)
+    zeros, content = [0] * len(key), [rng.bytes(168) for _ in key]
+    kinds = [("kind", pa.int32()), ("key", pa.int64()), ("frag", pa.int64()), ("doc", pa.int64()), ("sub", pa.int64()), ("start", pa.int32()), ("n", pa.int32())]
+    columns = [zeros, key, zeros, list(range(len(key))), zeros, zeros, [69] * len(key)]
+    arrays = [pa.array(c, kind) for c, (_, kind) in zip(columns, kinds, strict=True)] + [pa.array(content, pa.binary())]
+    batch = pa.RecordBatch.from_arrays(arrays, names=[name for name, _ in kinds] + ["content"])
+    list(seeds.compare_rows(True, compare, suffix_array.BLOCK_BYTES)(iter([batch])))
+    assert sum(sizes) == 168 * len(key) and max(sizes) <= suffix_array.BLOCK_BYTES + 2 * 168

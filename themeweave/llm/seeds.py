@@ -218,13 +218,15 @@ def mark_rows(same_document: bool, max_variants: int = MAX_VARIANTS):
 
 
 def repeated_windows(
-    docs: DataFrame, folder: str, symbols: Symbols, width: int, gram: int, same_document: bool, compare, contents
+    docs: DataFrame, folder: str, symbols: Symbols, width: int, gram: int, same_document: bool, compare, contents,
+    block_bytes: int | None = None, pick=None,
 ) -> DataFrame:
     """``<doc, sub, start, n>``: ``n`` windows from ``start`` on that also occur earlier.
 
     ``docs`` is ``<doc, sub, text>``. ``contents`` cuts the fragments to compare out of a text and
     ``compare`` takes the contents of a block and gives, for every window that occurs twice or more
-    in it, its group, its fragment and its place there.
+    in it, its group, its fragment and its place there; ``block_bytes`` is the size of a block. ``pick``
+    tells which fragments may share a window at all, given their anchors and contents.
     """
     anchors = docs.mapInArrow(anchor_rows(symbols, width, gram), ANCHORS)
     order = ("key", "frag", "doc", "sub", "start")
@@ -237,7 +239,7 @@ def repeated_windows(
     compared = (
         pieces.repartition("key")
         .sortWithinPartitions("kind", *order)
-        .mapInArrow(compare_rows(same_document, compare), REPEATS)
+        .mapInArrow(compare_rows(same_document, compare, block_bytes or COMPARE_BYTES, pick), REPEATS)
     )
     whole = marked.where(F.col("state") == WHOLE).select("doc", "sub", "start", "n")
     return whole.unionByName(compared)
@@ -293,20 +295,66 @@ def _runs(doc: np.ndarray, sub: np.ndarray, start: np.ndarray) -> dict[str, np.n
     new = np.ones(len(doc), dtype=bool)
     new[1:] = (doc[1:] != doc[:-1]) | (sub[1:] != sub[:-1]) | (start[1:] > start[:-1] + 1)
     first = np.flatnonzero(new)
-    last = np.append(first[1:], len(doc)) - 1
+    last = np.append(first[1:], len(doc))[: len(first)] - 1
     return {"doc": doc[first], "sub": sub[first], "start": start[first], "n": start[last] - start[first] + 1}
 
 
-#: Bytes of fragments compared at a time; an anchor's fragments always stay together.
+#: Bytes of fragments brought together at a time; an anchor's fragments always stay together.
 COMPARE_BYTES = 512 << 10
 
 
-def compare_rows(same_document: bool, compare):
+def around_anchor(width: int, gram: int):
+    """Which byte fragments share, with another of their anchor, what a common window must have around it.
+
+    The anchor lies at most ``width - gram`` symbols into a window. For each step of that place, all windows
+    have some symbols before and behind the anchor in common, four fifths of the window or more together.
+    """
+    slack = width - gram
+    step = max(1, slack // 4)
+
+    def pick(key: np.ndarray, contents: list[bytes]) -> np.ndarray:
+        data = np.frombuffer(b"".join(contents), dtype=np.uint8)
+        bounds = np.append(0, np.cumsum([len(x) for x in contents]))
+        sums = hashing.running(data)
+        at = np.arange(len(data) - gram + 1)
+        row = hashing.row_of(bounds, len(data))[: len(at)]
+        inside = at + gram <= bounds[row + 1]
+        hits = at[inside & (hashing.mix(hashing.stretch(sums, at, at + gram)).view(np.int64) == key[row])]
+        found, first = np.unique(row[hits], return_index=True)
+        place = np.full(len(contents), -1)
+        place[found] = hits[first]
+        keep = place < 0
+        for before in range(0, slack + 1, step):
+            behind = gram + max(0, slack - before - step + 1)
+            fits = np.flatnonzero((place - before >= bounds[:-1]) & (place + behind <= bounds[1:]))
+            mark = hashing.stretch(sums, place[fits] - before, place[fits] + behind) + hashing.mix(key[fits].view(np.uint64))
+            _, same, many = np.unique(mark, return_inverse=True, return_counts=True)
+            keep[fits[many[same] > 1]] = True
+        return keep
+
+    return pick
+
+
+def compare_rows(same_document: bool, compare, block_bytes: int = COMPARE_BYTES, pick=None):
     """Compare the fragments of whole anchors, block by block, then mark windows by their hash."""
     schema = _schema(REPEATS)
     names = ("key", "doc", "sub", "start", "n")
 
-    def run(block: list[tuple]) -> Iterator[pa.RecordBatch]:
+    def run(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
+        if pick is not None:
+            key = np.array([row[0] for row in rows], dtype=np.int64)
+            rows = [row for row, kept in zip(rows, pick(key, [row[-1] for row in rows]), strict=True) if kept]
+        block, size = [], 0
+        for row in rows:
+            if size > block_bytes and row[0] != block[-1][0]:
+                yield from compared_block(block)
+                block, size = [], 0
+            block.append(row)
+            size += len(row[-1])
+        if block:
+            yield from compared_block(block)
+
+    def compared_block(block: list[tuple]) -> Iterator[pa.RecordBatch]:
         doc, sub, start, n = (np.array([row[i] for row in block], dtype=np.int64) for i in range(1, 5))
         group, member, offset = compare([row[-1] for row in block])
         place = start[member] + offset

@@ -8,8 +8,8 @@ anew with one more entry per text. Suffixes that share a prefix of ``width`` byt
 next to each other, with common prefixes of at least that length between them.
 
 Collections are the blocks of fragments that :mod:`seeds` brings together: every 100-byte
-string that occurs in two places meets itself in one block. A block is at most about half
-a megabyte, so its sequences stay in memory and need no files on the machine.
+string that occurs in two places meets itself in one block. A block is about 64 KB, and
+whole anchors, so its sequences stay in a processor's cache and need no files on the machine.
 
 Defined results of :func:`remove_repeats`: a null or empty text has no bytes; repeated rows
 (same id, same text) are one document and get the same result each; different texts under one
@@ -29,6 +29,8 @@ from themeweave.llm import hashing, seeds
 from themeweave.runtime import new_run_folder
 
 WIDTH, GRAM = 100, 32
+#: Bytes of fragments whose suffixes are put in order at a time; every round passes over all of a block.
+BLOCK_BYTES = 64 << 10
 KEPT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary"
 
 
@@ -50,17 +52,14 @@ def suffix_order(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray
     owner = np.repeat(np.arange(m), lengths)
     back[ends[owner] - 1 - np.arange(len(data)), owner] = code[data]
 
-    transform, common = back[0].copy(), np.zeros(m, dtype=np.int32)
-    text, offset = np.arange(m, dtype=np.int32), lengths.astype(np.int32)
+    transform, common = back[0].copy(), np.zeros(m, dtype=np.int16 if columns < 1 << 15 else np.int32)
     active, rank = np.arange(m), np.arange(m)
     for j in range(1, columns):
         going = lengths[active] >= j
         active, rank = active[going], rank[going]
-        order = np.argsort(transform, kind="stable")
-        place = np.empty(len(order), dtype=np.int64)
-        place[order] = np.arange(len(order))
+        order, place = _places(transform)
         ended = int(np.count_nonzero(transform == 0))
-        mine = place[rank]
+        mine = place[rank].astype(np.int64)
         new = mine - ended + m
         symbol = transform[rank]
         before = order[np.maximum(mine - 1, 0)]
@@ -75,12 +74,28 @@ def suffix_order(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray
         transform = _insert(transform, kept, new, back[j, active])
         common = _insert(common, kept, new, with_before)
         common[new[has_after] + 1] = with_after[has_after]
-        text = _insert(text, kept, new, active)
-        offset = _insert(offset, kept, new, lengths[active] - j)
         rank = new
+
+    # the finished transform leads from each suffix to the one longer by a symbol, so texts and offsets need no writing anew
+    text, offset = np.empty(len(transform), dtype=np.int32), np.empty(len(transform), dtype=np.int32)
+    place = _places(transform)[1]
+    active = rank = np.arange(m)
+    for j in range(columns):
+        going = lengths[active] >= j
+        active, rank = active[going], rank[going]
+        text[rank], offset[rank] = active, lengths[active] - j
+        rank = place[rank]
     return text, offset, common
 
 
+def _places(transform: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Stable order of the symbols, and the place of each in it."""
+    order = np.argsort(transform, kind="stable")
+    place = np.empty(len(order), dtype=np.int32)
+    place[order] = np.arange(len(order), dtype=np.int32)
+    return order, place
+
+
 def _insert(old: np.ndarray, kept: np.ndarray, at: np.ndarray, values: np.ndarray) -> np.ndarray:
     out = np.empty(len(kept), dtype=old.dtype)
     out[kept] = old
@@ -151,7 +166,8 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH, gram: int = GRAM) -> Dat
     folder = new_run_folder(docs.sparkSession)
     keyed = seeds.document_key(docs)
     repeats = seeds.repeated_windows(
-        keyed, folder, byte_symbols, width, gram, True, repeated_in_block(width), byte_contents
+        keyed, folder, byte_symbols, width, gram, True, repeated_in_block(width), byte_contents,
+        BLOCK_BYTES, seeds.around_anchor(width, gram),
     )
     joined = keyed.join(seeds.repeats_by_document(repeats), ["doc", "sub"], "left")
     return joined.select("doc", "text", "runs").mapInArrow(_kept_rows(width), KEPT)
