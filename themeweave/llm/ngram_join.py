@@ -7,7 +7,7 @@ their hash bucket occurs, then by hash, the rare first.
 1. Two sets that link share a shingle among the first ``n - ceil(t * n) + 1`` of each. Sets that
    share such a shingle and have fitting sizes meet at a pivot, the smallest of them, so a
    large group of near copies makes at most two pairs per member, not all pairs.
-2. Each set has a parity map, two to four bits per shingle. Two maps differ in at most as many bits as the
+2. Each set has a parity map, a bit or two per shingle, more for short texts. Two maps differ in at most as many bits as the
    sets differ in shingles, so pairs whose maps differ in more can't link; only the sets of the others
    are made and moved.
 3. The members of a pivot, in blocks of ``BLOCK``, are stored in a prefix tree. The
@@ -47,7 +47,7 @@ BLOCK = 64
 #: Bytes of text worked on at a time; running sums and powers take about a hundred times as much.
 PIECE_BYTES = 1 << 20
 #: Fewest bits of a parity map.
-MAP_BITS = 64
+MAP_BITS = 256
 #: Pairs of one token compared at a time.
 CHUNK = 1 << 17
 
@@ -81,8 +81,8 @@ def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def parity_map(hashes: np.ndarray) -> bytes:
-    """A bit per place, set where an odd number of shingles fall; at least twice as many places as shingles."""
-    places = max(MAP_BITS, 2 << max(0, len(hashes) - 1).bit_length())
+    """A bit per place, set where an odd number of shingles fall; at least as many places as shingles."""
+    places = max(MAP_BITS, 1 << max(0, len(hashes) - 1).bit_length())
     at = (hashes & np.uint64(places - 1)).astype(np.int64)
     return np.packbits((np.bincount(at, minlength=places) & 1).astype(np.uint8), bitorder="little").tobytes()
 
