@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import re
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -123,3 +124,28 @@ def test_state_is_carried_and_lanes_do_not_mix(monkeypatch):
     np.testing.assert_allclose(totals(), together, rtol=1e-5)
     monkeypatch.setattr(net, "WINDOW", 500)
     np.testing.assert_allclose(totals(), together, rtol=1e-5)
+
+
+def test_windows_take_their_memory_again():
+    rng = np.random.default_rng(5)
+    texts = [rng.integers(0, 2048, 3 * net.WINDOW) for _ in range(net.LANES)]
+    network = net.Network(net.start_weights(np.ones(2048), 32, 24, 1))
+    first, *others = net.windows(enumerate(texts), network.start_symbol)
+    network.learn(first)
+    tracemalloc.start()
+    for batch in others:
+        network.learn(batch)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 5 << 20, peak
+
+
+def test_lanes_that_are_done_stay_out():
+    sizes = [3, net.WINDOW, 5 * net.WINDOW + 1, 1, 2 * net.WINDOW] * 60
+    texts = [np.arange(n) + i for i, n in enumerate(sizes)]
+    found = {i: [] for i in range(len(texts))}
+    for batch in net.windows(enumerate(texts), 2048):
+        for lane, owner in enumerate(batch.owner):
+            assert batch.fresh[lane] == (not found[owner])
+            found[owner] += batch.symbols[batch.inside[:, lane], lane].tolist()
+    assert [found[i] for i in range(len(texts))] == [t.tolist() for t in texts]

@@ -8,6 +8,7 @@ back-propagates within a window (truncated back-propagation through time).
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
@@ -88,7 +89,8 @@ def windows(documents: Iterable[tuple[int, np.ndarray]], start_symbol: int) -> I
     while True:
         fresh = np.zeros(LANES, bool)
         sizes[:] = 0
-        for lane in range(LANES):
+        # once there are no more documents, a lane that is empty stays so
+        for lane in range(LANES) if more else lanes.tolist():
             text = texts[lane]
             if text is None or at[lane] >= len(text):
                 text = None
@@ -120,152 +122,234 @@ def windows(documents: Iterable[tuple[int, np.ndarray]], start_symbol: int) -> I
         )
 
 
-def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-x))
-
-
 def _exponentials(x: np.ndarray, reach: float) -> tuple[np.ndarray, np.ndarray]:
-    """Exponentials of each row up to a factor, and their sums. ``reach`` bounds every ``abs(x)``."""
+    """Exponentials of each column up to a factor, in the place of ``x``, and their sums. ``reach`` bounds every ``abs(x)``."""
     if reach > SAFE:
-        x = x - x.max(axis=1, keepdims=True)
-    x = np.exp(x)
-    return x, x @ np.ones(x.shape[1], x.dtype)
+        x -= x.max(axis=0)
+    np.exp(x, out=x)
+    return x, np.ones(len(x), x.dtype) @ x
 
 
-def _by_class(classes: np.ndarray, count: int) -> Iterator[tuple[int, np.ndarray]]:
-    order = np.argsort(classes, kind="stable")
-    ends = np.cumsum(np.bincount(classes, minlength=count))
-    for k in range(count):
-        begin = ends[k - 1] if k else 0
-        if ends[k] > begin:
-            yield k, order[begin : ends[k]]
+@dataclass
+class Trace:
+    """A window step by step, each ``(steps, width, lanes)``; ``states`` has one step more, ``gates`` both gates, ``recalled`` all three parts."""
+
+    states: np.ndarray
+    gates: np.ndarray
+    new: np.ndarray
+    recalled: np.ndarray
+
+
+@dataclass
+class Targets:
+    """The symbols of a window in order of their class.
+
+    ``at`` are their places in the flat window, ``states`` ``(width + 1, symbols)`` what predicts them, the
+    last row ones for the biases, and ``spans`` ``(class, begin, end)``.
+    """
+
+    at: np.ndarray
+    kind: np.ndarray
+    member: np.ndarray
+    states: np.ndarray
+    spans: list[tuple[int, int, int]]
 
 
 class Network:
+    """Inside of a window, one column is one lane or symbol: slices by gate are whole blocks of memory."""
+
     def __init__(self, weights: Weights):
         self.weights = {name: np.array(weights[name]) for name in PARTS}
         self.width = self.weights["recur"].shape[0]
         self.classes, self.members = self.weights["word_b"].shape
-        self.state = np.zeros((LANES, self.width), np.float32)
+        self.kind = self.weights["recur"].dtype
+        self.state = np.zeros((self.width, LANES), self.kind)
         self.moments = {name: (np.zeros_like(v), np.zeros_like(v)) for name, v in self.weights.items()}
         self.steps = 0
+        self.rooms: dict[str, np.ndarray] = {}
+        self.ready: tuple | None = None
+
+    def _room(self, name: str, *shape: int) -> np.ndarray:
+        """Memory that is taken again by each window; what it held before is lost."""
+        size = math.prod(shape)
+        if name not in self.rooms or len(self.rooms[name]) < size:
+            self.rooms[name] = np.empty(size, self.kind)
+        return self.rooms[name][:size].reshape(shape)
 
     @property
     def start_symbol(self) -> int:
         return self.classes * self.members
 
-    def _run(self, batch: Windows) -> list[tuple]:
+    def _run(self, batch: Windows) -> Trace:
         """States of a window; the lanes' states move on."""
         w, h = self.weights, self.width
-        state = self.state[batch.lanes]
-        state[batch.fresh] = 0
-        gates_in = w["inputs"][batch.before] + w["bias"]
-        trace = []
-        for step in range(len(batch.before)):
-            x = gates_in[step]
-            u = state @ w["recur"]
-            gate = _sigmoid(x[:, : 2 * h] + u[:, : 2 * h])
-            z, r = gate[:, :h], gate[:, h:]
-            new = np.tanh(x[:, 2 * h :] + r * u[:, 2 * h :])
-            after = new + z * (state - new)
-            trace.append((state, z, r, new, u[:, 2 * h :], after))
+        steps, lanes = batch.before.shape
+        sizes = {"states": (steps + 1, h), "gates": (steps, 2 * h), "new": (steps, h), "recalled": (steps, 3 * h)}
+        trace = Trace(*(self._room(name, *size, lanes) for name, size in sizes.items()))
+        state = trace.states[0]
+        state[:] = self.state[:, batch.lanes]
+        state[:, batch.fresh] = 0
+        inputs, recur = self._ready()[:2]
+        gates_in = self._room("gates_in", 3 * h, steps, lanes)
+        np.take(inputs, batch.before, axis=1, out=gates_in, mode="clip")
+        for step in range(steps):
+            x = gates_in[:, step]
+            u = np.matmul(recur, state, out=trace.recalled[step])
+            gate, new, after = trace.gates[step], trace.new[step], trace.states[step + 1]
+            np.add(x[: 2 * h], u[: 2 * h], out=gate)
+            np.negative(gate, out=gate)
+            np.exp(gate, out=gate)
+            gate += 1
+            np.reciprocal(gate, out=gate)
+            np.multiply(gate[h:], u[2 * h :], out=new)
+            new += x[2 * h :]
+            np.tanh(new, out=new)
+            np.subtract(state, new, out=after)
+            after *= gate[:h]
+            after += new
             state = after
-        self.state[batch.lanes] = state
+        self.state[:, batch.lanes] = state
         return trace
 
-    def _reach(self) -> tuple[float, float]:
-        """Bounds of the class and word scores; a state lies between -1 and 1."""
-        w = self.weights
-        of_class = np.abs(w["class_b"]).max() + np.abs(w["class_w"]).sum(axis=0).max()
-        return float(of_class), float(np.abs(w["word_b"]).max() + np.abs(w["word_w"]).sum(axis=2).max())
+    def _ready(self) -> tuple:
+        """The weights as the windows use them, until the next step: the biases are columns of the outer layers.
+
+        The last two bound the class and word scores; a state lies between -1 and 1.
+        """
+        if self.ready is None:
+            w = self.weights
+            inputs = np.ascontiguousarray((w["inputs"] + w["bias"]).T)
+            of_class = np.vstack([w["class_w"], w["class_b"]]).T.copy()
+            of_word = np.concatenate([w["word_w"], w["word_b"][:, :, None]], axis=2)
+            reaches = (float(np.abs(layer).sum(axis=-1).max()) for layer in (of_class, of_word))
+            self.ready = (inputs, w["recur"].T.copy(), of_class, of_word, *reaches)
+        return self.ready
+
+    def _targets(self, batch: Windows, trace: Trace) -> Targets:
+        places = np.flatnonzero(batch.inside)
+        kind, member = np.divmod(batch.symbols.ravel()[places], self.members)
+        order = np.argsort(kind.astype(np.int16), kind="stable")
+        at, kind, member = places[order], kind[order], member[order]
+        # the state before a token predicts it, and includes the token before it
+        flat = self._room("flat_states", self.width, *batch.inside.shape)
+        flat[:] = trace.states[1:].transpose(1, 0, 2)
+        states = self._room("targets", self.width + 1, len(at))
+        np.take(flat.reshape(self.width, -1), at, axis=1, out=states[:-1], mode="clip")
+        states[-1] = 1
+        ends = np.cumsum(np.bincount(kind, minlength=self.classes)).tolist()
+        spans = [(k, begin, end) for k, (begin, end) in enumerate(zip([0, *ends], ends)) if end > begin]
+        return Targets(at, kind, member, states, spans)
+
+    def _softmax(self, name: str, layer: np.ndarray, states: np.ndarray, reach: float) -> tuple[np.ndarray, np.ndarray]:
+        return _exponentials(np.matmul(layer, states, out=self._room(name, len(layer), states.shape[1])), reach)
 
     def log_probs(self, batch: Windows) -> np.ndarray:
         """Natural log probability of each symbol of the window, 0 outside of documents."""
-        w = self.weights
-        hidden = np.stack([self_step[-1] for self_step in self._run(batch)])
-        # the state before a token predicts it, and includes the token before it
-        inside = batch.inside
-        states, target = hidden[inside], batch.symbols[inside]
-        kind, member = np.divmod(target, self.members)
-        class_reach, word_reach = self._reach()
-        logits, sums = _exponentials(states @ w["class_w"] + w["class_b"], class_reach)
-        scores = np.log(logits[np.arange(len(target)), kind] / sums)
-        for k, mine in _by_class(kind, self.classes):
-            logits, sums = _exponentials(states[mine] @ w["word_w"][k].T + w["word_b"][k], word_reach)
-            scores[mine] += np.log(logits[np.arange(len(mine)), member[mine]] / sums)
-        out = np.zeros(inside.shape, np.float64)
-        out[inside] = scores
+        _, _, of_class, of_word, class_reach, word_reach = self._ready()
+        goal = self._targets(batch, self._run(batch))
+        every = np.arange(len(goal.at))
+        likely, sums = self._softmax("of_class", of_class, goal.states, class_reach)
+        chances = likely[goal.kind, every] / sums
+        scores = np.log(chances)
+        for k, begin, end in goal.spans:
+            likely, sums = self._softmax("of_word", of_word[k], goal.states[:, begin:end], word_reach)
+            np.divide(likely[goal.member[begin:end], every[: end - begin]], sums, out=chances[begin:end])
+        scores += np.log(chances)
+        out = np.zeros(batch.inside.shape, np.float64)
+        out.ravel()[goal.at] = scores
         return out
 
     def learn(self, batch: Windows) -> None:
         """One step of Adam on the window."""
         w, h = self.weights, self.width
+        steps, lanes = batch.before.shape
+        _, _, of_class, of_word, class_reach, word_reach = self._ready()
         trace = self._run(batch)
-        inside = batch.inside
-        hidden = np.stack([step[-1] for step in trace])
-        states, target = hidden[inside], batch.symbols[inside]
-        kind, member = np.divmod(target, self.members)
-        rows = np.arange(len(target))
-        grads = {name: np.zeros_like(v) for name, v in w.items()}
-
-        class_reach, word_reach = self._reach()
-        error, sums = _exponentials(states @ w["class_w"] + w["class_b"], class_reach)
-        error /= sums[:, None]
-        error[rows, kind] -= 1
-        grads["class_w"] = states.T @ error
-        grads["class_b"] = error.sum(axis=0)
-        into = error @ w["class_w"].T
-        for k, mine in _by_class(kind, self.classes):
-            local = states[mine]
-            error, sums = _exponentials(local @ w["word_w"][k].T + w["word_b"][k], word_reach)
-            error /= sums[:, None]
-            error[np.arange(len(mine)), member[mine]] -= 1
-            grads["word_w"][k] = error.T @ local
-            grads["word_b"][k] = error.sum(axis=0)
-            into[mine] += error @ w["word_w"][k]
-
-        back = np.zeros_like(hidden)
-        back[inside] = into
-        gate_errors = np.empty((*inside.shape, h), np.float32)
-        state_errors = np.empty((*inside.shape, 3 * h), np.float32)
-        carried = np.zeros_like(trace[0][0])
-        turned = w["recur"].T.copy()
-        for step in range(len(trace) - 1, -1, -1):
-            before, z, r, new, u, _ = trace[step]
-            error = carried + back[step]
-            d_new = error * (1 - z) * (1 - new * new)
-            d_u = state_errors[step]
-            d_u[:, :h] = error * (before - new) * (z * (1 - z))
-            d_u[:, h : 2 * h] = d_new * u * (r * (1 - r))
-            d_u[:, 2 * h :] = d_new * r
-            carried = error * z + d_u @ turned
-            gate_errors[step] = d_new
-        befores = np.concatenate([step[0] for step in trace])
-        grads["recur"] = befores.T @ state_errors.reshape(-1, 3 * h)
-        state_errors[:, :, 2 * h :] = gate_errors
-        flat, used = state_errors.reshape(-1, 3 * h), batch.before.ravel()
-        grads["bias"] = flat.sum(axis=0)
-        order = np.argsort(used, kind="stable")
-        sorted_ids = used[order]
-        first = np.flatnonzero(np.append(True, sorted_ids[1:] != sorted_ids[:-1]))
-        grads["inputs"][sorted_ids[first]] = np.add.reduceat(flat[order], first, axis=0)
-        self._step(grads, len(target))
+        goal = self._targets(batch, trace)
+        every = np.arange(len(goal.at))
+        grads = {}
+
+        error, sums = self._softmax("of_class", of_class, goal.states, class_reach)
+        error /= sums
+        error[goal.kind, every] -= 1
+        slopes = goal.states @ error.T
+        grads["class_w"], grads["class_b"] = slopes[:h], slopes[h]
+        into = np.matmul(w["class_w"], error, out=self._room("into", h, len(goal.at)))
+        slopes = np.zeros_like(of_word)
+        for k, begin, end in goal.spans:
+            local = goal.states[:, begin:end]
+            error, sums = self._softmax("of_word", of_word[k], local, word_reach)
+            error /= sums
+            error[goal.member[begin:end], every[: end - begin]] -= 1
+            slopes[k] = error @ local.T
+            into[:, begin:end] += w["word_w"][k].T @ error
+        grads["word_w"], grads["word_b"] = slopes[:, :, :h].copy(), slopes[:, :, h].copy()
+
+        back = self._room("back", h, steps * lanes)
+        back[:] = 0
+        back[:, goal.at] = into
+        back = back.reshape(h, steps, lanes)
+        z, r, before = trace.gates[:, :h], trace.gates[:, h:], trace.states[:-1]
+        by_new, by_z, by_r, gate_errors = (self._room(name, steps, h, lanes) for name in ("by_new", "by_z", "by_r", "gate_errors"))
+        state_errors = self._room("state_errors", steps, 3 * h, lanes)
+        # by_z: (before - new) z (1 - z); by_new: (1 - z) (1 - new new); by_r: recalled r (1 - r)
+        np.subtract(before, trace.new, out=by_z)
+        by_z *= z
+        np.subtract(1, z, out=by_r)
+        by_z *= by_r
+        np.multiply(trace.new, trace.new, out=by_new)
+        np.subtract(1, by_new, out=by_new)
+        by_new *= by_r
+        np.subtract(1, r, out=by_r)
+        by_r *= r
+        by_r *= trace.recalled[:, 2 * h :]
+        carried = np.zeros((h, lanes), self.kind)
+        for step in range(steps - 1, -1, -1):
+            carried += back[:, step]
+            d_new, d_u = gate_errors[step], state_errors[step]
+            np.multiply(carried, by_new[step], out=d_new)
+            np.multiply(carried, by_z[step], out=d_u[:h])
+            np.multiply(d_new, by_r[step], out=d_u[h : 2 * h])
+            np.multiply(d_new, r[step], out=d_u[2 * h :])
+            carried *= z[step]
+            carried += w["recur"] @ d_u
+        grads["recur"] = np.matmul(before, state_errors.transpose(0, 2, 1)).sum(axis=0)
+        state_errors[:, 2 * h :] = gate_errors
+        flat = self._room("flat_errors", 3 * h, steps, lanes)
+        flat[:] = state_errors.transpose(1, 0, 2)
+        flat, used = flat.reshape(3 * h, -1), batch.before.ravel().astype(np.int64)
+        grads["bias"] = flat.sum(axis=1)
+        grads["inputs"] = np.empty_like(w["inputs"])
+        for row in range(3 * h):
+            grads["inputs"][:, row] = np.bincount(used, flat[row], len(w["inputs"]))
+        self._step(grads, len(goal.at))
 
     def _step(self, grads: Weights, n: int) -> None:
         """Adam; a window with few symbols takes a step that is shorter in proportion."""
         self.steps += 1
+        self.ready = None
         full = WINDOW * LANES
         scale = 1 / n
-        norm = np.sqrt(sum(float((g * g).sum()) for g in grads.values())) * scale
+        norm = math.sqrt(sum(float(np.vdot(g, g)) for g in grads.values())) * scale
         scale *= min(1.0, CLIP / max(norm, 1e-12))
-        rate = LEARNING_RATE * n / full * np.sqrt(1 - 0.99**self.steps) / (1 - 0.9**self.steps)
+        # Python's own numbers leave the arrays in single precision
+        rate = LEARNING_RATE * n / full * math.sqrt(1 - 0.99**self.steps) / (1 - 0.9**self.steps)
         for name, grad in grads.items():
             grad *= scale
             mean, square = self.moments[name]
-            mean += 0.1 * (grad - mean)
+            move = self._room("move", *grad.shape)
+            np.subtract(grad, mean, out=move)
+            move *= 0.1
+            mean += move
             grad *= grad
-            square += 0.01 * (grad - square)
-            self.weights[name] -= rate * mean / (np.sqrt(square) + 1e-6)
+            grad -= square
+            grad *= 0.01
+            square += grad
+            np.sqrt(square, out=grad)
+            grad += 1e-6
+            np.divide(mean, grad, out=move)
+            move *= rate
+            self.weights[name] -= move
 
 
 def train(weights: Weights, texts: Iterable[np.ndarray]) -> tuple[Weights, int]:
