@@ -12,7 +12,7 @@ from themeweave.llm.ngram_join import ngram_components
 from themeweave.llm.quality import keep_good
 from themeweave.llm.queries import table
 from themeweave.llm.secret_scan import redact_secrets
-from themeweave.runtime import new_run_folder, store
+from themeweave.runtime import new_run_folder, store, without_keys
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -23,7 +23,8 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def near_copy_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest id of each group of near copies, and what has no id or no words."""
     groups = ngram_components(docs).where("doc_id != component_id").select("doc_id").distinct()
-    return docs.join(groups, "doc_id", "left_anti").select(*docs.columns)
+    copies = store(groups, f"{new_run_folder(spark)}/copies")
+    return without_keys(docs, copies, "doc_id").select(*docs.columns)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

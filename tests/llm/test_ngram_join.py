@@ -134,3 +134,15 @@ def test_nearest_pairs_of_a_shingle_are_no_more_than_two_a_row():
 
     assert len(pairs(False)) == 120 * 119 // 2
     assert len(pairs(True)) <= 2 * 120 and {k for p in pairs(True) for k in p} == set(range(120))
+
+
+def test_short_maps_are_half_as_long_and_lose_no_pair():
+    rng = np.random.default_rng(4)
+    for n in (3, 200, 400, 700, 3000):
+        one = np.unique(rng.integers(0, 1 << 63, n, np.uint64))
+        other = np.unique(np.concatenate([one[n // 12 :], rng.integers(0, 1 << 63, n // 20, np.uint64)]))
+        apart = len(np.setxor1d(one, other))
+        maps = [ngram_join.parity_map(x) for x in (one, other)]
+        short = [ngram_join.short_map(x) for x in maps]
+        assert [len(x) for x in short] == [max(32, len(x) // 2) for x in maps]
+        assert ngram_join.map_distance(*short) <= ngram_join.map_distance(*maps) <= apart

@@ -5,6 +5,7 @@ from __future__ import annotations
 import random
 
 import corpus_pipeline
+from themeweave import runtime
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -57,3 +58,15 @@ def test_secrets_take_one_python_worker_per_task(spark):
     assert sorted(out.select("doc_id", "text", "n_chars").collect()) == [
         (1, "a [assign] b", 12), (2, "nothing here", 12), (3, None, None),
     ]
+
+
+def test_near_copies_leave_without_moving_the_texts(spark, monkeypatch):
+    monkeypatch.setattr(runtime, "BROADCAST_ROWS", 3)
+    text = "one two three four five six seven eight nine ten"
+    rows = [(d, text if d < 8 else f"{text} {d} {d + 1} {d + 2}", "en", "a", 1) for d in range(12)] + [(None, text, "en", "a", 1)] * 2
+    docs = spark.createDataFrame(rows, SCHEMA).checkpoint()
+    out = corpus_pipeline.near_copy_stage(spark, docs, "")
+    assert sorted(r.doc_id for r in out.collect() if r.doc_id is not None) == [0, 8, 9, 10, 11]
+    assert out.where("doc_id IS NULL").count() == 2
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan and "hashpartitioning" not in plan

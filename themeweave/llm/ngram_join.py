@@ -16,8 +16,8 @@ their hash bucket occurs, then by hash, the rare first.
 4. Pairs whose ends the links of the pivots already connect need no look. Each set first meets its
    nearest of another group at a shingle, as far as parity maps tell; the links of these join most groups. All other
    pairs that share a shingle of step 1 and pass the size and place bounds are compared by their parity
-   maps where the shingle lies, and become rows only if the maps leave them; those are compared
-   the same way, so no link between different groups is lost.
+   maps, folded once, where the shingle lies, and become rows only if these leave them; those are compared
+   the same way, by whole maps first, so no link between different groups is lost.
 
 Defined results of :func:`ngram_components`: a null or empty text has an empty set and is linked
 with nothing; rows with the same id are one document, each row with its own set size;
@@ -51,7 +51,7 @@ MAP_BITS = 256
 #: Pairs of one token compared at a time.
 CHUNK = 1 << 17
 
-CLASSES = "doc long, node long, n int, content binary"
+CLASSES = "doc long, node long, n int, content binary, short binary"
 CONTENT = "node long, n int, content binary"
 PREFIXES = "token long, node long, n int, place int"
 PAIRS = "a long, b long"
@@ -95,6 +95,11 @@ def folded(content: bytes, words: int) -> np.ndarray:
     return x
 
 
+def short_map(content: bytes) -> bytes:
+    """A parity map folded once, unless it has the fewest bits."""
+    return folded(content, max(MAP_BITS // 64, len(content) // 16)).tobytes()
+
+
 def map_distance(a: bytes, b: bytes) -> int:
     """Places in which two parity maps differ, the longer one folded to the other's length."""
     words = min(len(a), len(b)) // 8
@@ -107,8 +112,9 @@ def _class_rows(size: int):
             sets = list(shingle_hashes(piece, size))
             nodes = pa.array([node_of(s) for s in sets], pa.int64())
             counts = pa.array([len(s) for s in sets], pa.int32())
-            maps = pa.array([parity_map(s) for s in sets], pa.binary())
-            yield pa.RecordBatch.from_arrays([piece.column("doc"), nodes, counts, maps], names=["doc", "node", "n", "content"])
+            maps = [parity_map(s) for s in sets]
+            arrays = [piece.column("doc"), nodes, counts, pa.array(maps, pa.binary()), pa.array([short_map(m) for m in maps], pa.binary())]
+            yield pa.RecordBatch.from_arrays(arrays, names=["doc", "node", "n", "content", "short"])
 
     return work
 
@@ -415,12 +421,12 @@ def ngram_components(docs: DataFrame, size: int = SHINGLE, percent: int = PERCEN
 
     # a row per set, with the document that stands for it
     of_set = classes.where("doc IS NOT NULL AND n > 0").groupBy("node")
-    one_each = of_set.agg(F.min("doc").alias("doc"), F.min("n").alias("n"), F.first("content").alias("content"))
+    one_each = of_set.agg(F.min("doc").alias("doc"), F.min("n").alias("n"), F.first("content").alias("content"), F.first("short").alias("short"))
     maps = store(one_each, f"{folder}/maps")
 
     def linked_pairs(pairs: DataFrame, name: str) -> DataFrame:
         """The pairs whose sets link; sets are made for those that the parity maps leave."""
-        near = store(kept_pairs(pairs, maps.drop("doc"), percent, near_by_maps), f"{folder}/{name}-near")
+        near = store(kept_pairs(pairs, maps.select("node", "n", "content"), percent, near_by_maps), f"{folder}/{name}-near")
         nodes = near.select(F.explode(F.array("a", "b")).alias("node")).distinct()
         wanted = store(nodes.join(maps.select("node", "doc"), "node").select("doc").distinct(), f"{folder}/{name}-wanted")
         made = known.join(wanted, "doc").mapInArrow(_set_rows(size, levels), CONTENT).dropDuplicates(["node"])
@@ -443,7 +449,8 @@ def ngram_components(docs: DataFrame, size: int = SHINGLE, percent: int = PERCEN
     labels = components(links, f"{folder}/stars-joined")
 
     def between_groups(labels: DataFrame, nearest: bool) -> DataFrame:
-        known_by = maps.select("node", "content").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+        # a map is moved to each shingle of its set, so it is the short one; pairs that it leaves meet the whole maps
+        known_by = maps.select("node", F.col("short").alias("content")).join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
         grouped = shared.join(known_by, "node").repartition("token").sortWithinPartitions("token", "label", "node")
         return grouped.mapInArrow(_group_pairs(percent, nearest), PAIRS).distinct()
 
