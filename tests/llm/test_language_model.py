@@ -9,13 +9,14 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from .corpus_rows import documents
 
 from themeweave.llm import language_model, recurrent_model as net
-from themeweave.llm.language_model import score_documents
+from themeweave.llm.language_model import Lookup, count_tokens, score_documents
 
 
 def tokens(text):
@@ -149,3 +150,38 @@ def test_lanes_that_are_done_stay_out():
             assert batch.fresh[lane] == (not found[owner])
             found[owner] += batch.symbols[batch.inside[:, lane], lane].tolist()
     assert [found[i] for i in range(len(texts))] == [t.tolist() for t in texts]
+
+
+def test_long_documents_cross_the_stretch_a_lane_holds(monkeypatch):
+    monkeypatch.setattr(net, "STRETCH", 2 * net.WINDOW)
+    sizes = [7 * net.WINDOW + 3, 2 * net.WINDOW, 4 * net.WINDOW, 1] * 90
+    texts = [np.arange(n) + 1 for n in sizes]
+    found = {i: [] for i in range(len(texts))}
+    for batch in net.windows(enumerate(texts), 5000):
+        for lane, owner in enumerate(batch.owner):
+            before = batch.before[batch.inside[:, lane], lane].tolist()
+            assert before == [found[owner][-1] if found[owner] else 5000, *batch.symbols[: len(before) - 1, lane].tolist()]
+            found[owner] += batch.symbols[batch.inside[:, lane], lane].tolist()
+    assert [found[i] for i in range(len(texts))] == [t.tolist() for t in texts]
+
+
+def test_words_are_looked_up_where_a_search_finds_them():
+    rng = np.random.default_rng(9)
+    top = np.iinfo(np.uint64).max
+    for n in (1, 2, 3, 1000):
+        hashes = np.unique(np.concatenate([rng.integers(0, top, n, np.uint64), np.arange(n // 2, dtype=np.uint64)]))
+        wanted = np.concatenate([hashes, hashes + np.uint64(1), rng.integers(0, top, 500, np.uint64), np.array([0, top], np.uint64)])
+        expected = np.minimum(np.searchsorted(hashes, wanted), len(hashes) - 1)
+        assert Lookup(hashes).places(wanted).tolist() == expected.tolist()
+
+
+def test_counting_holds_little_beside_the_text():
+    texts = ["".join(rng_word) for rng_word in np.random.default_rng(3).choice(["ab ", "c ", "defgh "], (64, 30_000))]
+    batch = pa.RecordBatch.from_arrays([pa.array(texts)], names=["text"])
+    list(count_tokens(iter([batch])))
+    tracemalloc.start()
+    n = sum(sum(b.column("n").to_pylist()) for b in count_tokens(iter([batch])))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert n == 64 * 30_001
+    assert peak < 120 << 20, peak

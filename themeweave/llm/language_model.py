@@ -50,6 +50,8 @@ SEED = 17
 
 #: Weights of the net are averaged in blocks of so many.
 BLOCK = 2048
+#: Bytes of text hashed at a time: what that takes stays in the processor's cache.
+PIECE_BYTES = 1 << 20
 END = np.uint64(0x5D1F0E3B7A92C846)
 #: Of symbols that no word has, so that their logarithm exists.
 NO_MASS = 1e-3
@@ -81,7 +83,8 @@ def tokens_of(texts: hashing.Texts) -> tuple[np.ndarray, np.ndarray]:
 def count_tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for piece in hashing.slices(batch):
-            found, n = np.unique(tokens_of(hashing.Texts(piece.column("text")))[0], return_counts=True)
+            parts = [tokens_of(hashing.Texts(part.column("text")))[0] for part in hashing.slices(piece, size=PIECE_BYTES)]
+            found, n = np.unique(np.concatenate(parts), return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(n)], names=["hash", "n"])
 
 
@@ -113,6 +116,27 @@ def gather(counts: DataFrame) -> Counts:
     return Counts(sums.total, sums.distinct, hashes[by_hash], n[by_hash], symbols[by_hash].astype(np.int16), int(least), masses)
 
 
+class Lookup:
+    """Places of numbers in a sorted array of 64-bit hashes: the upper bits tell about where to look."""
+
+    def __init__(self, hashes: np.ndarray):
+        self.hashes = hashes
+        bits = max(1, (len(hashes) - 1).bit_length())
+        self.shift = np.uint64(64 - bits)
+        self.first = np.searchsorted(hashes, np.arange(1 << bits, dtype=np.uint64) << self.shift)
+
+    def places(self, wanted: np.ndarray) -> np.ndarray:
+        """As ``np.searchsorted``, but at most the last place."""
+        last = len(self.hashes) - 1
+        place = np.minimum(self.first[(wanted >> self.shift).astype(np.int64)], last)
+        behind = np.flatnonzero(self.hashes[place] < wanted)
+        while len(behind):
+            place[behind] += 1
+            behind = behind[place[behind] <= last]
+            behind = behind[self.hashes[place[behind]] < wanted[behind]]
+        return np.minimum(place, last, out=place)
+
+
 def encode_rows(counts: Counts):
     own = CLASSES * MEMBERS - BUCKETS
     weight_logs = np.log10(counts.counts + 1.0)
@@ -121,13 +145,13 @@ def encode_rows(counts: Counts):
     def sums(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
         return np.add.reduceat(values, bounds[:-1])  # each text has its end, so none is empty
 
-    def encode(piece: pa.RecordBatch) -> pa.RecordBatch:
+    def encode(piece: pa.RecordBatch, head: Lookup) -> pa.RecordBatch:
         tokens, bounds = tokens_of(hashing.Texts(piece.column("text")))
         known = np.zeros(len(tokens), bool)
         symbols = (own + (tokens % np.uint64(BUCKETS)).astype(np.int64)).astype(np.int16)
         logs = np.zeros(len(tokens))
         if len(counts.hashes):
-            place = np.minimum(np.searchsorted(counts.hashes, tokens), len(counts.hashes) - 1)
+            place = head.places(tokens)
             known = counts.hashes[place] == tokens
             symbols = np.where(known, counts.symbols[place], symbols)
             logs = np.where(known, weight_logs[place], 0.0)
@@ -151,9 +175,10 @@ def encode_rows(counts: Counts):
         )
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        head = Lookup(counts.hashes)
         for batch in batches:
-            for piece in hashing.slices(batch):
-                yield encode(piece)
+            for piece in hashing.slices(batch, size=PIECE_BYTES):
+                yield encode(piece, head)
 
     return work
 

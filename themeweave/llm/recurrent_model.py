@@ -18,6 +18,8 @@ WINDOW = 32
 LANES = 256
 #: Training cuts longer documents into so many symbols, each a lane of its own.
 TRAIN_PIECE = 4096
+#: Symbols of a document that a lane holds at a time.
+STRETCH = 1024
 LEARNING_RATE = 0.01
 CLIP = 1.0
 #: Single-precision exponentials of such numbers neither overflow nor vanish.
@@ -78,48 +80,45 @@ class Windows:
 
 
 def windows(documents: Iterable[tuple[int, np.ndarray]], start_symbol: int) -> Iterator[Windows]:
-    """Cut ``(owner, symbols)`` into windows. At most ``LANES`` documents are held at a time."""
+    """Cut ``(owner, symbols)`` into windows. At most ``LANES`` documents are held at a time.
+
+    A lane holds a stretch of its document, the symbol before it first, so that a window is taken from all lanes at once.
+    """
     source = iter(documents)
-    owner = [-1] * LANES
-    texts: list[np.ndarray | None] = [None] * LANES
-    at = [0] * LANES
-    symbols = np.zeros((LANES, WINDOW + 1), np.int32)
-    sizes = np.zeros(LANES, np.int64)
-    more = True
+    stretch = max(1, STRETCH // WINDOW) * WINDOW
+    owner = np.full(LANES, -1)
+    texts = [np.zeros(0, np.int32)] * LANES
+    begin = [0] * LANES
+    held = np.zeros((LANES, stretch + WINDOW + 1), np.int32)
+    at, end = np.zeros(LANES, np.int64), np.zeros(LANES, np.int64)
+    open_lanes = np.ones(LANES, bool)
+    steps = np.arange(WINDOW + 1)[:, None]
     while True:
         fresh = np.zeros(LANES, bool)
-        sizes[:] = 0
-        # once there are no more documents, a lane that is empty stays so
-        for lane in range(LANES) if more else lanes.tolist():
+        for lane in np.flatnonzero((at >= end) & open_lanes).tolist():
             text = texts[lane]
-            if text is None or at[lane] >= len(text):
-                text = None
-                while more and text is None:
-                    found = next(source, None)
-                    if found is None:
-                        more = False
-                    elif len(found[1]):
-                        owner[lane], text = found
-                texts[lane], at[lane], fresh[lane] = text, 0, True
-            if text is None:
-                continue
-            begin = at[lane]
-            piece = text[begin : begin + WINDOW]
-            n = len(piece)
-            symbols[lane, 0] = text[begin - 1] if begin else start_symbol
-            symbols[lane, 1 : n + 1] = piece
-            sizes[lane] = n
-            at[lane] = begin + n
-        lanes = np.flatnonzero(sizes)
+            begin[lane] += stretch
+            if begin[lane] >= len(text):
+                found = next((f for f in source if len(f[1])), None)
+                if found is None:
+                    open_lanes[lane] = False
+                    continue
+                owner[lane], text = found
+                texts[lane], begin[lane], fresh[lane] = text, 0, True
+            first = begin[lane]
+            piece = text[first : first + stretch]
+            held[lane, 0] = text[first - 1] if first else start_symbol
+            held[lane, 1 : len(piece) + 1] = piece
+            at[lane], end[lane] = 0, len(piece)
+        lanes = np.flatnonzero(open_lanes)
         if not len(lanes):
             return
-        picked = symbols[lanes].T
-        inside = np.arange(WINDOW)[:, None] < sizes[lanes][None, :]
-        steps = int(sizes.max())
-        yield Windows(
-            np.ascontiguousarray(picked[1 : steps + 1]), np.ascontiguousarray(picked[:steps]),
-            np.ascontiguousarray(inside[:steps]), fresh[lanes], [owner[k] for k in lanes], lanes,
-        )
+        sizes = np.minimum(end[lanes] - at[lanes], WINDOW)
+        n = int(sizes.max())
+        # what a lane gives beyond its end is not inside
+        picked = np.take(held, at[lanes] + lanes * held.shape[1] + steps[: n + 1])
+        at[lanes] += sizes
+        yield Windows(picked[1:], picked[:-1], steps[:n] < sizes, fresh[lanes], owner[lanes].tolist(), lanes)
 
 
 def _exponentials(x: np.ndarray, reach: float) -> tuple[np.ndarray, np.ndarray]:
